@@ -70,3 +70,15 @@ def shingle_hashes(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     for i in range(width):
         out = mixed(out * MIX + h[i : len(h) - width + 1 + i])
     return np.unique(out)
+
+
+#: Ids that a semi-join broadcasts at most (8 MB); more are joined by shuffling both sides.
+BROADCAST_IDS = 1_000_000
+
+
+def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is in ids (one column of that name, materialised): broadcast if few, else shuffled."""
+    from pyspark.sql import functions as F
+
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
