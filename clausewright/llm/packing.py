@@ -9,8 +9,10 @@ counts over buckets, so that a length that a third of all pieces have is ranked
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -112,29 +114,52 @@ def placements(made: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each text's token ids and a closing 0, cut at `size` ids."""
+class Words(dict):
+    """Ids of what stands between spaces and line feeds, as bytes: the tokenizer never joins across those."""
 
-    def cut(batches):
+    def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        coder = Tokenizer.from_file(tokenizer)
-
-        class Words(dict):
-            """Ids of what stands between spaces and line feeds: the tokenizer never joins across those."""
+        super().__init__({"": b""})
+        self.coder = Tokenizer.from_file(tokenizer)
 
-            def __missing__(self, word: str) -> bytes:
-                if len(self) >= CACHE_ENTRIES:
+    def joined(self, texts: list[list[str]]):
+        """The ids of each text and the closing 0."""
+        for a in range(0, len(texts), 256):
+            some = texts[a : a + 256]
+            if new := list(set(chain.from_iterable(some)).difference(self)):
+                if len(self) + len(new) > CACHE_ENTRIES:
                     self.clear()
-                self[word] = ids = b"".join(i.to_bytes(4, "little") for i in coder.encode(word, add_special_tokens=False).ids)
-                return ids
+                    new = list(set(chain.from_iterable(some)))
+                for k in range(0, len(new), 10_000):
+                    part = new[k : k + 10_000]
+                    for word, found in zip(part, self.coder.encode_batch_fast(part, add_special_tokens=False)):
+                        ids = found.ids
+                        self[word] = struct.pack(f"<{len(ids)}I", *ids)
+            for words in some:
+                yield b"".join(map(self.__getitem__, words)) + END
+
+
+#: One for each tokenizer, kept by a Python worker from task to task.
+_WORDS: dict[str, Words] = {}
+
 
-        words = Words({"": b""})
+def words_of(tokenizer: str) -> Words:
+    if tokenizer not in _WORDS:
+        _WORDS[tokenizer] = Words(tokenizer)
+    return _WORDS[tokenizer]
+
+
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each text's token ids and a closing 0, cut at `size` ids."""
+
+    def cut(batches):
+        words = words_of(tokenizer)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = b"".join(map(words.__getitem__, (text or "").replace("\n", " ").split(" "))) + END
+            texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), words.joined(texts)):
                 for k, a in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[a : a + 4 * size]
                     rows.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part)))
