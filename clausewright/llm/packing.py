@@ -9,8 +9,8 @@ counts over buckets, so that a length that a third of all pieces have is ranked
 from __future__ import annotations
 
 import os
-import struct
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from itertools import chain
 
@@ -23,6 +23,8 @@ from clausewright.llm.common import CACHE_ENTRIES, materialise
 SIZE = 2048
 BUCKETS = 256
 END = b"\0\0\0\0"
+#: Marks that may follow the letters of a word.
+MARKS = ".,;:!?%&$#*)"
 
 
 def exact_fill(gap: int, count: list[int]) -> tuple[int, ...] | None:
@@ -114,8 +116,20 @@ def placements(made: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
     return out
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, as the tokenizer has it, where its letters are all of Latin 1; else as it is."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Words(dict):
-    """Ids of what stands between spaces and line feeds, as bytes: the tokenizer never joins across those."""
+    """Ids of what stands between spaces and line feeds, as bytes: the tokenizer never joins across those.
+
+    A word is kept here from its second block on; until then it waits in `fresh`, so that the many words that come
+    once don't push out the others."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -123,20 +137,40 @@ class Words(dict):
 
         super().__init__({"": b""})
         self.coder = Tokenizer.from_file(tokenizer)
+        self.fresh: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.fresh[word]
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self)
+        again = new.intersection(self.fresh)
+        if len(self) + len(again) > CACHE_ENTRIES:
+            self.clear()
+            self[""] = b""
+            return self.learn(words)
+        for word in again:
+            self[word] = self.fresh.pop(word)
+        unseen = new.difference(again)
+        if len(self.fresh) + len(unseen) > CACHE_ENTRIES:
+            self.fresh.clear()
+        # letters and the marks that follow them are tokenized apart: their ids can be put together
+        stems = {w: w.rstrip(MARKS) for w in unseen}
+        wanted = {s if s.isalpha() else w for w, s in stems.items()} | {w[len(s) :] for w, s in stems.items() if len(s) < len(w) and s.isalpha()}
+        wanted = [w for w in wanted if w not in self and w not in self.fresh]
+        for k in range(0, len(wanted), 10_000):
+            part = wanted[k : k + 10_000]
+            for word, found in zip(part, self.coder.encode_batch_fast(part, add_special_tokens=False)):
+                self.fresh[word] = array("I", found.ids).tobytes()
+        for w, s in stems.items():
+            if w not in self.fresh:
+                self.fresh[w] = self[s] + self[w[len(s) :]]
 
     def joined(self, texts: list[list[str]]):
         """The ids of each text and the closing 0."""
         for a in range(0, len(texts), 256):
             some = texts[a : a + 256]
-            if new := list(set(chain.from_iterable(some)).difference(self)):
-                if len(self) + len(new) > CACHE_ENTRIES:
-                    self.clear()
-                    new = list(set(chain.from_iterable(some)))
-                for k in range(0, len(new), 10_000):
-                    part = new[k : k + 10_000]
-                    for word, found in zip(part, self.coder.encode_batch_fast(part, add_special_tokens=False)):
-                        ids = found.ids
-                        self[word] = struct.pack(f"<{len(ids)}I", *ids)
+            self.learn(set(chain.from_iterable(some)))
             for words in some:
                 yield b"".join(map(self.__getitem__, words)) + END
 
@@ -158,7 +192,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
         words = words_of(tokenizer)
         for batch in batches:
             rows = []
-            texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
+            texts = [lowered(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), words.joined(texts)):
                 for k, a in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[a : a + 4 * size]
