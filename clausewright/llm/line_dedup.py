@@ -24,15 +24,16 @@ SEGMENT = 1 << 16  # bytes
 PROBES = 3
 MIN_CHARS, MIN_DOCS = 20, 3
 STRIP = " \t\n\x0b\x0c\r"
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def key_of(line: str) -> str:
-    return line.strip(STRIP).translate(LOWER)
+    """The line without white space at its ends; digest() lower-cases it."""
+    return line.strip(STRIP)
 
 
 def digest(key: str) -> bytes:
-    return hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    """The digest of a key; bytes.lower() changes A to Z only."""
+    return hashlib.blake2b(key.encode("utf-8", "surrogatepass").lower(), digest_size=16).digest()
 
 
 def doc_digests(text: str | None, min_chars: int) -> list[bytes]:
