@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.llm.common import among, materialise
 from clausewright.llm.spans import OFF, Rule, as_kind, matches, of_kind, plain, tagged, written
 
 #: Share of an entity's information content from which a term discloses it.
@@ -40,35 +41,39 @@ KINDS = [r.kind for r in BASE]
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text (plain), spans: the patterns' spans in each text."""
+    """doc_id, h, spans: a hash of each text, and the patterns' spans in it."""
     found = docs.select("doc_id", plain(F.col("text")).alias("text"))
-    found = found.select("doc_id", "text", *[matches(F.col("text"), r).alias(r.kind) for r in BASE])
-    return found.select("doc_id", "text", tagged({k: F.col(k) for k in KINDS}).alias("spans"))
+    found = found.select("doc_id", F.xxhash64("text").alias("h"), *[matches(F.col("text"), r).alias(r.kind) for r in BASE])
+    return found.select("doc_id", "h", tagged({k: F.col(k) for k in KINDS}).alias("spans"))
+
+
+def entities(found: DataFrame) -> DataFrame:
+    """found with a row for each distinct entity."""
+    return found.where("size(spans) > 0").withColumn("entity", F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat(x["kind"], F.lit(":"), F.lower(x["v"]))))))
 
 
 def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1)))
 
 
-def disclosive(found: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) pairs that disclose, counted over the distinct texts of base_spans() rows.
+def disclosive(docs: DataFrame, found: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(entity, term) pairs that disclose, counted over the distinct texts of docs; found: their base_spans().
 
-    Equal texts count once: a text that is copied a thousand times tells no more about its entities than one."""
-    named = found.withColumn("h", F.xxhash64("text"))
-    entity = F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat(x["kind"], F.lit(":"), F.lower(x["v"])))))
-    held = named.where("size(spans) > 0").select("h", entity.alias("entity")).distinct()
+    Equal texts count once: a text that is copied a thousand times tells no more about its entities than one. Only the
+    texts with an entity that enough texts share are read for pairs, and all texts are read for the terms of pairs."""
+    held = entities(found).select("h", "entity").distinct()
     common = held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    held = held.join(common, "entity")
-    # one text of each hash: the one of the smallest doc_id
-    first = named.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    words = named.where("size(spans) > 0").join(held.select("h").distinct(), "h", "left_semi").join(first, ["h", "doc_id"], "left_semi")
-    words = words.select("h", F.explode(terms_of(F.col("text"))).alias("term"))
-    # a term inside the entity itself is already covered by the base span
-    pairs = held.join(words, "h").where(~F.col("entity").contains(F.col("term"))).groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= support)
-    wanted = pairs.select("term").distinct()
-    every = named.join(first, ["h", "doc_id"], "left_semi").select(F.explode(terms_of(F.col("text"))).alias("term"))
-    counted = every.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = first.agg(F.count("*").alias("n"))  # one row
+    held = materialise(held.join(common, "entity"), "held")
+    # one document of each text that holds such an entity
+    ids = materialise(found.join(held.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id")), "holders")
+    words = among(docs.select("doc_id", "text"), ids.select("doc_id"), "doc_id").select(F.xxhash64(plain(F.col("text"))).alias("h"), F.explode(terms_of(F.col("text"))).alias("term")).distinct()
+    pairs = held.join(words, "h").where(~F.col("entity").contains(F.col("term")))  # a term inside the entity is in its span
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= support)
+    pairs = materialise(pairs, "pairs")
+    wanted = materialise(pairs.select("term").distinct(), "terms")
+    every = docs.select(F.xxhash64(plain(F.col("text"))).alias("h"), F.explode(terms_of(F.col("text"))).alias("term"))
+    counted = among(every, wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    total = found.agg(F.count_distinct("h").alias("n"))  # one row
     ratio = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
     return pairs.join(counted, "term").join(F.broadcast(total)).where((F.col("n") > F.col("n_e")) & (ratio >= share)).select("entity", "term")
 
@@ -80,21 +85,21 @@ def term_spans(text: Column, terms: Column) -> Column:
 
 
 def spans_with_terms(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, text, spans, base: all spans and the patterns' own."""
-    found = base_spans(docs)
-    leaks = disclosive(found, share, support)
-    entity = F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat(x["kind"], F.lit(":"), F.lower(x["v"])))))
+    """doc_id, all, base: all spans and the patterns' own."""
+    found = materialise(base_spans(docs), "spans")
+    leaks = disclosive(docs, found, share, support)
     # a text's terms are bounded by its words
-    by_doc = found.select("doc_id", entity.alias("entity")).join(leaks, "entity").groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
-    joined = found.join(by_doc, "doc_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
-    more = as_kind(term_spans(F.col("text"), F.col("terms")), len(KINDS), "term")
-    inside = lambda x: F.exists("spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return joined.withColumn("more", more).select("doc_id", "text", F.array_sort(F.concat("spans", F.filter("more", lambda x: ~inside(x)))).alias("all"), F.col("spans").alias("base"))
+    by_doc = materialise(entities(found).join(leaks, "entity").groupBy("doc_id").agg(F.collect_set("term").alias("terms")), "leaks")
+    texts = among(docs.select("doc_id", "text"), by_doc.select("doc_id"), "doc_id").join(by_doc, "doc_id").select("doc_id", F.xxhash64(plain(F.col("text"))).alias("h"), as_kind(term_spans(plain(F.col("text")), F.col("terms")), len(KINDS), "term").alias("more"))
+    joined = found.join(texts.dropDuplicates(["doc_id", "h"]), ["doc_id", "h"], "left")
+    outside = F.filter("more", lambda x: ~F.exists("spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return joined.select("doc_id", "h", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", outside))).alias("all"), F.col("spans").alias("base"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """doc_id, text: each span generalised to its kind in brackets, terms removed to [..]."""
-    s = spans_with_terms(docs)
+    s = spans_with_terms(docs).dropDuplicates(["doc_id", "h"])
+    s = docs.select("doc_id", plain(F.col("text")).alias("text")).withColumn("h", F.xxhash64("text")).join(s, ["doc_id", "h"])
     start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
