@@ -56,6 +56,11 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1)))
 
 
+def text_terms(docs: DataFrame) -> DataFrame:
+    """(h, term) of each text; the hash is made before the terms are dealt to rows."""
+    return docs.select(F.xxhash64(plain(F.col("text"))).alias("h"), terms_of(F.col("text")).alias("terms")).select("h", F.explode("terms").alias("term"))
+
+
 def disclosive(docs: DataFrame, found: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(entity, term) pairs that disclose, counted over the distinct texts of docs; found: their base_spans().
 
@@ -66,13 +71,13 @@ def disclosive(docs: DataFrame, found: DataFrame, share: float = DISCLOSURE, sup
     held = materialise(held.join(common, "entity"), "held")
     # one document of each text that holds such an entity
     ids = materialise(found.join(held.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id")), "holders")
-    words = among(docs.select("doc_id", "text"), ids.select("doc_id"), "doc_id").select(F.xxhash64(plain(F.col("text"))).alias("h"), F.explode(terms_of(F.col("text"))).alias("term")).distinct()
+    words = among(docs.select("doc_id", "text"), ids.select("doc_id"), "doc_id")
+    words = text_terms(words).distinct()
     pairs = held.join(words, "h").where(~F.col("entity").contains(F.col("term")))  # a term inside the entity is in its span
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= support)
     pairs = materialise(pairs, "pairs")
     wanted = materialise(pairs.select("term").distinct(), "terms")
-    every = docs.select(F.xxhash64(plain(F.col("text"))).alias("h"), F.explode(terms_of(F.col("text"))).alias("term"))
-    counted = among(every, wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = among(text_terms(docs), wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     total = found.agg(F.count_distinct("h").alias("n"))  # one row
     ratio = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
     return pairs.join(counted, "term").join(F.broadcast(total)).where((F.col("n") > F.col("n_e")) & (ratio >= share)).select("entity", "term")
