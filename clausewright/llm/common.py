@@ -76,9 +76,9 @@ def shingle_hashes(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
 BROADCAST_IDS = 1_000_000
 
 
-def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is in ids (one column of that name, materialised): broadcast if few, else shuffled."""
+def among(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose key is in ids, or with left_anti is not in them (one column of that name, materialised): broadcast if few, else shuffled."""
     from pyspark.sql import functions as F
 
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return df.join(F.broadcast(ids) if few else ids, key, how)

@@ -77,7 +77,10 @@ def disclosive(docs: DataFrame, found: DataFrame, share: float = DISCLOSURE, sup
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= support)
     pairs = materialise(pairs, "pairs")
     wanted = materialise(pairs.select("term").distinct(), "terms")
-    counted = among(text_terms(docs), wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    # of equal texts the one of the least doc_id counts, so that counts, not texts, are shuffled
+    first = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "first")
+    copies = materialise(found.select("doc_id", "h").join(first, "h").where("doc_id <> first").select("doc_id"), "copies")
+    counted = among(text_terms(among(docs.select("doc_id", "text"), copies, "doc_id", "left_anti")), wanted, "term").groupBy("term").agg(F.count("*").alias("n_t"))
     total = found.agg(F.count_distinct("h").alias("n"))  # one row
     ratio = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(F.col("n") / F.col("n_e"))
     return pairs.join(counted, "term").join(F.broadcast(total)).where((F.col("n") > F.col("n_e")) & (ratio >= share)).select("entity", "term")
