@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries of the word caches below; a full cache is emptied, which changes speed only.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 120_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def values(column):
+    """The Python values of an Arrow column, some hundreds at a time, so that few texts are held at once."""
+    for a in range(0, len(column), 256):
+        yield from column.slice(a, 256).to_pylist()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered."""
 

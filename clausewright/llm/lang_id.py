@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import CACHE_ENTRIES
+from clausewright.llm.common import CACHE_ENTRIES, values
 
 #: Labelled documents to learn from, at most about so many of each language and of at most LANGUAGES languages.
 TRAIN_DOCS, LANGUAGES = 2_000, 200
@@ -119,7 +119,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         scores, names = WordScores(model), model["languages"]
         for batch in batches:
             langs, values = [], []
-            for text in batch.column(at).to_pylist():
+            for text in values(batch.column(at)):
                 words = text.lower().split() if text else []
                 total, n = np.zeros(len(names)), 0
                 for a in range(0, len(words), 20_000):

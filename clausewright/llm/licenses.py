@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.llm.common import values
+
 THRESHOLD = 0.8
 
 # Public licence notices and short licence texts.
@@ -102,7 +104,7 @@ def licences(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, thres
         made = compiled(templates)
         known = frozenset(x for _, b, _ in made for x in b)
         for batch in batches:
-            rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in licences_of(t, made, known, threshold)]
+            rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), values(batch.column(1))) for x in licences_of(t, made, known, threshold)]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "license", "dice", "start", "end"])
 

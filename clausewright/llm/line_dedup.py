@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.llm.common import values
+
 #: 16 MB a filter: 60 million distinct lines at 1 % false positives.
 FILTER_BITS = 1 << 27
 SEGMENT = 1 << 16  # bytes
@@ -132,7 +134,7 @@ def suspects(docs: DataFrame, bits: int = FILTER_BITS, min_chars: int = MIN_CHAR
         twice = unpacked(shared.value)
         for batch in batches:
             ids, found = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, text in zip(batch.column(0).to_pylist(), values(batch.column(1))):
                 if digests := doc_digests(text, min_chars):
                     hit = held(twice, probes(digests, bits))
                     found += [d for d, h in zip(digests, hit.tolist()) if h]
@@ -162,7 +164,7 @@ def without_common_lines(docs: DataFrame, bits: int = FILTER_BITS, min_chars: in
     def cut(batches):
         for batch in batches:
             texts, lines, dropped = [], [], []
-            for text, lost in zip(batch.column(at).to_pylist(), batch.column(len(own)).to_pylist()):
+            for text, lost in zip(values(batch.column(at)), batch.column(len(own)).to_pylist()):
                 every = (text or "").split("\n")
                 if lost:
                     lost = set(lost)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import WordHashes, among, materialise, mixed, shingle_hashes
+from clausewright.llm.common import WordHashes, among, materialise, mixed, shingle_hashes, values
 from clausewright.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -52,7 +52,7 @@ def signatures(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame
         hashes = WordHashes()
         for batch in batches:
             ids, n, nodes = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 s = shingle_hashes(text, words, hashes)
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 n.append(len(s) or None)
@@ -66,7 +66,7 @@ def shingle_table(docs: DataFrame, words: int) -> DataFrame:
     def make(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_hashes(t, words, hashes).tobytes() for t in batch.column(1).to_pylist()]
+            sets = [shingle_hashes(t, words, hashes).tobytes() for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     return docs.mapInArrow(make, "id long, shingles binary")

@@ -12,16 +12,18 @@ import os
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import CACHE_ENTRIES, materialise
+from clausewright.llm.common import materialise, values
 
 SIZE = 2048
 BUCKETS = 256
+#: Words whose ids a Python worker remembers, and as many that it has met once.
+CACHE_ENTRIES = 400_000
 END = b"\0\0\0\0"
 #: Marks that may follow the letters of a word.
 MARKS = ".,;:!?%&$#*)"
@@ -166,10 +168,10 @@ class Words(dict):
             if w not in self.fresh:
                 self.fresh[w] = self[s] + self[w[len(s) :]]
 
-    def joined(self, texts: list[list[str]]):
+    def joined(self, texts):
         """The ids of each text and the closing 0."""
-        for a in range(0, len(texts), 256):
-            some = texts[a : a + 256]
+        texts = iter(texts)
+        while some := [lowered(t or "").replace("\n", " ").split(" ") for t in islice(texts, 256)]:
             self.learn(set(chain.from_iterable(some)))
             for words in some:
                 yield b"".join(map(self.__getitem__, words)) + END
@@ -192,8 +194,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
         words = words_of(tokenizer)
         for batch in batches:
             rows = []
-            texts = [lowered(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), words.joined(texts)):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.joined(values(batch.column(1)))):
                 for k, a in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[a : a + 4 * size]
                     rows.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part)))
