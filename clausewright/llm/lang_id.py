@@ -118,7 +118,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         model = shared.value
         scores, names = WordScores(model), model["languages"]
         for batch in batches:
-            langs, values = [], []
+            langs, shares = [], []
             for text in values(batch.column(at)):
                 words = text.lower().split() if text else []
                 total, n = np.zeros(len(names)), 0
@@ -132,15 +132,15 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                     n += int((rows > 0).sum())
                 if not names or (n == 0 and not any(c.isalpha() for c in text or "")):
                     langs.append(UNKNOWN)
-                    values.append(0.0)
+                    shares.append(0.0)
                     continue
                 z = total * (min(n, SATURATION) / max(n, 1))
                 z = np.exp(z - z.max())
                 best = int(z.argmax())
                 langs.append(names[best])
-                values.append(float(z[best] / z.sum()))
+                shares.append(float(z[best] / z.sum()))
             arrays = [batch.column(i) for i in range(len(own))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(values, pa.float64())], [*own, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(shares, pa.float64())], [*own, "lang_pred", "score"])
 
     from pyspark.sql import types as T
 
