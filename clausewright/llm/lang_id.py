@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import CACHE_ENTRIES, values
+from clausewright.llm.common import CACHE_ENTRIES, small_batches, values
 
 #: Labelled documents to learn from, at most about so many of each language and of at most LANGUAGES languages.
 TRAIN_DOCS, LANGUAGES = 2_000, 200
@@ -110,6 +110,7 @@ class WordScores(dict):
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """docs with lang_pred and score; its own columns of those names are replaced."""
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = own.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and LANGUAGES
