@@ -255,7 +255,7 @@ def cl_rule_pick(spark, sf):
     return x.select("doc_id", F.when(F.col("top") == 0, "other").otherwise(F.col("kind")).alias("kind"), conf.alias("conf"))
 
 
-@query("SELECT * FROM (VALUES (0, 1280000.0), (1, 500500.0), (2, 120000000.0), (3, 100.23), (4, 123456.0), (5, NULL)) t(i, yuan)")
+@query("SELECT i, CAST(yuan AS DOUBLE) AS yuan FROM (VALUES (0, 1280000.0), (1, 500500.0), (2, 120000000.0), (3, 100.23), (4, 123456.0), (5, NULL)) t(i, yuan)")
 def fn_cn_amount(spark, sf):
     rows = ["人民币壹佰贰拾捌万元整", "伍拾万零伍佰元", "壹亿贰仟万元整", "壹佰元贰角叁分", "壹拾贰万叁仟肆佰伍拾陆元整", "500,000 元"]
     return spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", money.cn_amount(F.col("t")).alias("yuan"))
