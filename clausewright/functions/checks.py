@@ -48,11 +48,6 @@ def time_offset(t: Column, default: int = 15) -> Column:
     return F.when(days != "", days.try_cast("int")).when(months != "", months.try_cast("int") * 30).when(t.contains("签订后"), 0).otherwise(default)
 
 
-def currency(t: Column) -> Column:
-    """The code of the first currency in this order that a text names; yuan if none."""
-    return F.when(t.contains("美元") | t.contains("USD"), "USD").when(t.contains("欧元") | t.contains("EUR"), "EUR").when(t.contains("港"), "HKD").otherwise("CNY")
-
-
 def json_part(t: Column) -> Column:
     """The object in an answer: of its fenced block, else from its first to its last brace; null if neither parses."""
     fenced, outer = F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1), F.regexp_extract(t, r"(?s)(\{.*\})", 1)

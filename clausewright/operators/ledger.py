@@ -137,3 +137,24 @@ def compile_filter(condition: dict) -> Column:
             got = F.col(k) == v
         out = out & got
     return out
+
+
+def saved_filters(df: DataFrame, groups: dict[str, dict[str, str]], chosen: list[str]) -> DataFrame:
+    """The rows that pass the chosen filters: any of a group's, of every group that has one chosen."""
+    for named in groups.values():
+        picked = [f"({named[n]})" for n in chosen if n in named]
+        if picked:
+            df = df.where(" OR ".join(picked))
+    return df
+
+
+def named_payments(c: DataFrame, nodes: list[tuple[str | None, str | None, str | None]]) -> DataFrame:
+    """id, seq, planned, planned_date of the payments (share, sum, days) that were named for each contract.
+
+    The sum, else the share of the amount; nothing where that is 0. Without days, 30 for each payment before it,
+    those left out counted."""
+    share, money_ = "decimal(5,4)", "decimal(18,2)"
+    rows = [F.struct(F.lit(i).alias("seq"), F.lit(r).cast(share).alias("ratio"), F.lit(s).cast(money_).alias("said"), F.lit(d).cast("int").alias("days")) for i, (r, s, d) in enumerate(nodes, 1)]
+    n = c.select("id", "amount", "date_signed", F.inline(F.array(*rows)))
+    planned = F.round(F.when(F.col("said") != 0, F.col("said")).otherwise(F.coalesce(F.col("amount") * F.col("ratio"), F.lit(0))), 2).cast(money_)
+    return n.select("id", "seq", planned.alias("planned"), F.expr("date_add(date_signed, coalesce(days, 30 * (seq - 1)))").alias("planned_date")).where("planned > 0")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions import money, text
-from clausewright.operators import ledger
+from clausewright.operators import ledger, retrieval
 from clausewright.sources.tables import AS_OF, SQL, contracts, plans, table
 
 FLAGSHIP = "ag_plan_summary"
@@ -267,14 +267,19 @@ def fn_date_norm(spark, sf):
     return spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", money.date_norm(F.col("t")).alias("d"))
 
 
-@query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND a.vec_id <> b.vec_id)
-SELECT query_id, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM p) WHERE r <= 5""")
+NEAREST = """p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM p)"""
+
+
+def nearest(spark, sf, k):
+    """The k nearest of every vector for those whose id is divisible by 20, the stated query set."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return retrieval.nearest(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k)
+
+
+@query(f"WITH {NEAREST} SELECT query_id, vec_id, sim FROM n WHERE r <= 5")
 def tk_vector(spark, sf):
-    e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # 20 given queries
-    hits = e.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(money.cosine(F.col("q"), F.col("embedding")), 4).alias("sim"))
-    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")))
-    return ranked.where("r <= 5").select("query_id", "vec_id", "sim")
+    return nearest(spark, sf, 5).select("query_id", "vec_id", "sim")
 
 
 @query("SELECT label, count(*) AS examples, count(DISTINCT vec_id // 10) AS groups FROM embeddings GROUP BY label")

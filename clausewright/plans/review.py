@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from clausewright.functions import checks, money, text
+from clausewright.functions import checks, fields, money, text
 from clausewright.plans.catalogue import SUMMARY, WITH, query, summary
 from clausewright.sources.tables import contracts, plans, table
 
@@ -216,9 +216,9 @@ def fn_time_offset(spark, sf):
     return given(spark, ["验收合格后10个工作日内", "2个月后支付", "签订后支付", "另行商定"], checks.time_offset)
 
 
-@query("SELECT i, v FROM (VALUES (0, 'USD'), (1, 'EUR'), (2, 'HKD'), (3, 'CNY')) t(i, v)")
+@query("SELECT i, v FROM (VALUES (0, 'USD'), (1, 'EUR'), (2, 'HKD'), (3, 'CNY'), (4, 'CNY'), (5, NULL)) t(i, v)")
 def fn_currency_guess(spark, sf):
-    return given(spark, ["5万美元", "欧元", "港币100元", "人民币"], checks.currency)
+    return given(spark, ["5万美元", "欧元", "港币100元", "人民币", "美元折合人民币", "面议"], fields.currency_of)
 
 
 @query("SELECT i, CAST(v AS DOUBLE) AS v FROM (VALUES (0, 50000.0), (1, 500000.0), (2, 0.0)) t(i, v)")
