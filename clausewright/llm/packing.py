@@ -14,6 +14,7 @@ from array import array
 from bisect import bisect_left, insort
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ BUCKETS = 256
 #: Words whose ids a Python worker remembers, and as many that it has met once.
 CACHE_ENTRIES = 400_000
 END = b"\0\0\0\0"
+#: How the tokenizer's vocabulary marks the last piece of a word, and how many unseen words are encoded at once.
+WORD_END = "</w>"
+RUN = 2_000
 #: Marks that may follow the letters of a word.
 MARKS = ".,;:!?%&$#*)"
 
@@ -139,11 +143,34 @@ class Words(dict):
 
         super().__init__({"": b""})
         self.coder = Tokenizer.from_file(tokenizer)
+        vocabulary = self.coder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.fresh: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         return self.fresh[word]
 
+    def encode_each(self, words: list[str]) -> None:
+        for k in range(0, len(words), 10_000):
+            part = words[k : k + 10_000]
+            for word, found in zip(part, self.coder.encode_batch_fast(part, add_special_tokens=False)):
+                self.fresh[word] = array("I", found.ids).tobytes()
+
+    def encode_run(self, words: list[str]) -> None:
+        """Encodes words of letters as one text and cuts its ids behind each id that ends a word.
+
+        A word has one such id at least. If there are more than words, some word has several: then each by itself."""
+        (found,) = self.coder.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(words):
+            return self.encode_each(words)
+        raw, a = ids.tobytes(), 0
+        for word, b in zip(words, cuts.tolist()):
+            self.fresh[word] = raw[a:b]
+            a = b
+
     def learn(self, words: set[str]) -> None:
         new = words.difference(self)
         again = new.intersection(self.fresh)
@@ -160,10 +187,10 @@ class Words(dict):
         stems = {w: w.rstrip(MARKS) for w in unseen}
         wanted = {s if s.isalpha() else w for w, s in stems.items()} | {w[len(s) :] for w, s in stems.items() if len(s) < len(w) and s.isalpha()}
         wanted = [w for w in wanted if w not in self and w not in self.fresh]
-        for k in range(0, len(wanted), 10_000):
-            part = wanted[k : k + 10_000]
-            for word, found in zip(part, self.coder.encode_batch_fast(part, add_special_tokens=False)):
-                self.fresh[word] = array("I", found.ids).tobytes()
+        letters = [w for w in wanted if w.isalpha()]
+        for k in range(0, len(letters), RUN):
+            self.encode_run(letters[k : k + RUN])
+        self.encode_each([w for w in wanted if not w.isalpha()])
         for w, s in stems.items():
             if w not in self.fresh:
                 self.fresh[w] = self[s] + self[w[len(s) :]]
