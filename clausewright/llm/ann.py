@@ -2,9 +2,10 @@
 
 Centroids are fitted on a bounded sample; every vector is then put into the list of its nearest centroid and, if it
 lies near a boundary, into those of a few more. A query finds its nearest centroids by a walk over a graph of the
-centroids held in memory, and reads those lists whose distance is within a ratio of the nearest. Lists are cut into
-blocks of BLOCK vectors, so that a list that many vectors fall into is read by many tasks. Largest inner product is
-turned into least distance by one more dimension, which makes all vectors equally long."""
+centroids held in memory, and reads their lists. How many follows from the recall that a bounded sample of the queries
+has against all vectors; a query that these lists leave short of hits reads all lists. Lists are cut into blocks of
+BLOCK vectors, so that a list that many vectors fall into is read by many tasks. Largest inner product is turned into
+least distance by one more dimension, which makes all vectors equally long."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import materialise
+from clausewright.llm.common import among, materialise
 
 #: Vectors that the centroids are fitted on, at most about; and most centroids, which bounds what is broadcast.
 SAMPLE, CENTROIDS = 20_000, 1_024
@@ -25,8 +26,8 @@ POSTING = 256
 BLOCK = 2_048
 #: A vector also goes into lists whose distance is within this factor of its nearest one's, REPLICAS lists at most.
 BOUNDARY, REPLICAS = 1.1, 4
-#: A query reads lists whose distance is within this factor of the nearest one's, PROBES at most.
-RATIO, PROBES = 1.6, 24
+#: Queries that are compared with all vectors, at most; the recall that they must reach, and the lists tried first.
+TRIAL, RECALL, PROBES = 256, 0.95, 8
 NEIGHBOURS = 16
 TOP = 20
 
@@ -109,33 +110,129 @@ class Graph:
         return [e for _, e in found], [math.sqrt(d) for d, _ in found]
 
 
-def lists_of(vectors: DataFrame, graph, longest: float, ratio: float, most: int, query: bool) -> DataFrame:
-    """(list, vec_id, v, dim): each vector once for each list within ratio of its nearest."""
+def lists_near(g: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of lifted base vectors: each once for each of its REPLICAS nearest lists within BOUNDARY of the nearest."""
+    rows, lists = [], []
+    for a in range(0, len(x), 4096):
+        part = x[a : a + 4096]
+        d = np.sqrt(np.maximum(0, (part**2).sum(1)[:, None] + g.sq - 2 * part @ g.c.T))
+        near = np.argsort(d, 1, kind="stable")[:, :REPLICAS]
+        dist = np.take_along_axis(d, near, 1)
+        row, at = np.nonzero(dist <= BOUNDARY * dist[:, :1] + 1e-9)
+        rows.append(row + a)
+        lists.append(near[row, at])
+    return np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*lists, np.zeros(0, np.int64)])
+
+
+def padded(vs: list, dim: int) -> np.ndarray:
+    x = np.zeros((len(vs), dim))
+    for i, v in enumerate(vs):
+        x[i, : min(dim, len(v))] = v[:dim]
+    return x
+
+
+def probed(g: Graph, v, longest: float, probes: int) -> list[int]:
+    """The lists that a query reads; all if probes is as large as their number."""
+    if probes >= len(g.c):
+        return list(range(len(g.c)))
+    x = padded([v], g.c.shape[1] - 1)[0]
+    # a query has no lift; scaled to the same length, which doesn't change the order
+    return g.nearest(np.append(x * (longest / np.linalg.norm(x)) if x.any() else x, 0.0), probes)[0]
+
+
+def lists_of(vectors: DataFrame, graph, longest: float, probes: int | None = None) -> DataFrame:
+    """(list, vec_id, v): each base vector once for each list that it goes into; with probes, each query for each list it reads."""
 
     def assign(batches):
         g: Graph = graph.value
-        dim = g.c.shape[1] - 1
         for batch in batches:
-            ids, rows, lists = [], [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.zeros(dim)
-                x[: min(dim, len(v))] = v[:dim]
-                if query:
-                    # a query has no lift; scaled to the same length, which doesn't change the order
-                    y = np.append(x * (longest / np.linalg.norm(x)) if x.any() else x, 0.0)
-                else:
-                    y = lift(x[None], longest)[0]
-                near, dist = g.nearest(y, most)
-                for e, d in zip(near, dist):
-                    if d <= ratio * dist[0] + 1e-9:
-                        ids.append(i)
-                        rows.append(np.asarray(v, np.float64).tobytes())
-                        lists.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["list", "vec_id", "v"])
+            ids, vs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            if probes is None:
+                rows, lists = lists_near(g, lift(padded(vs, g.c.shape[1] - 1), longest))
+            else:
+                read = [probed(g, v, longest, probes) for v in vs]
+                rows, lists = np.repeat(np.arange(len(vs)), [len(r) for r in read]), np.array([e for r in read for e in r], np.int64)
+            held = [np.asarray(v, np.float64).tobytes() for v in vs]
+            for a in range(0, len(rows), 8192):  # a query may read many lists
+                part = rows[a : a + 8192]
+                yield pa.RecordBatch.from_arrays([pa.array(lists[a : a + 8192], pa.int32()), pa.array(ids[part], pa.int64()), pa.array([held[i] for i in part], pa.binary())], ["list", "vec_id", "v"])
 
     return vectors.select("vec_id", "v").mapInArrow(assign, "list int, vec_id long, v binary")
 
 
+def best_of(ids: np.ndarray, vs: list[bytes], qid: np.ndarray, qs: list[bytes], top: int) -> tuple[list, list, list]:
+    """(query, vector, score) of the best of some vectors for each query, some queries at a time."""
+    out_q, out_v, out_s = [], [], []
+    by_dim: dict[int, list[int]] = {}
+    for i, v in enumerate(vs):
+        by_dim.setdefault(len(v), []).append(i)
+    for size, at in by_dim.items():
+        b, own = np.frombuffer(b"".join(vs[i] for i in at)).reshape(len(at), -1), ids[at]
+        pick = [i for i, v in enumerate(qs) if len(v) == size]
+        for a in range(0, len(pick), 512):
+            part = pick[a : a + 512]
+            s = np.frombuffer(b"".join(qs[i] for i in part)).reshape(len(part), -1) @ b.T
+            s[qid[part][:, None] == own[None]] = -np.inf
+            some = min(top, len(at))
+            # all that reach the last place, so that ties can go by id
+            last = np.partition(s, len(at) - some, 1)[:, len(at) - some]
+            for i, row in enumerate(s):
+                hit = np.flatnonzero((row >= last[i] - 1e-9) & np.isfinite(row))
+                if not len(hit):
+                    continue
+                # summed part by part, so that a pair's score doesn't depend on its block
+                exact = (b[hit] * np.frombuffer(qs[part[i]])).cumsum(1)[:, -1]
+                best = np.lexsort((own[hit], -exact))[:top]
+                out_q += [int(qid[part[i]])] * len(best)
+                out_v += own[hit][best].tolist()
+                out_s += exact[best].tolist()
+    return out_q, out_v, out_s
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def found_table(found: tuple[list, list, list]) -> pa.Table:
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), found, (pa.int64(), pa.int64(), pa.float64()))})
+
+
+def ranked(found: DataFrame, top: int) -> DataFrame:
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a vector may be in several lists
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return found.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+
+def probes_for(base: DataFrame, asked: DataFrame, posted: DataFrame, graph, longest: float, top: int) -> int:
+    """The least tried number of lists with which a sample of the queries finds RECALL of its true nearest."""
+    picked = asked.dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIAL).collect()
+    g: Graph = graph.value
+    qid, qs = np.array([r.vec_id for r in picked], np.int64), [np.asarray(r.v, np.float64).tobytes() for r in picked]
+
+    def compare(batches):
+        ids, vs = [], []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            vs += [np.asarray(v, np.float64).tobytes() for v in batch.column(1).to_pylist()]
+            if len(ids) >= 8192:
+                yield from found_table(best_of(np.array(ids), vs, qid, qs, top)).to_batches()
+                ids, vs = [], []
+        if ids:
+            yield from found_table(best_of(np.array(ids), vs, qid, qs, top)).to_batches()
+
+    true = materialise(ranked(base.select("vec_id", "v").mapInArrow(compare, FOUND), top).select("query_id", "vec_id"), "true")
+    # bounded by the sample: a row for each true neighbour and list
+    where: dict[tuple, set] = {}
+    for r in posted.select("list", "vec_id").join(F.broadcast(true), "vec_id").collect():
+        where.setdefault((r.query_id, r.vec_id), set()).add(r.list)
+    probes = PROBES
+    while probes < len(g.c):
+        read = {r.vec_id: set(probed(g, r.v, longest, probes)) for r in picked}
+        if sum(not read[q].isdisjoint(lists) for (q, _), lists in where.items()) >= RECALL * len(where):
+            break
+        probes = math.ceil(probes * 1.25)
+    return min(probes, len(g.c))
+
+
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: int = CENTROIDS, sample: int = SAMPLE, posting: int = POSTING) -> DataFrame:
     """Per query: query_id, rank, vec_id, score: the nearest found by inner product, without the query's own id.
 
@@ -151,54 +248,35 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: in
     chosen = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30)).orderBy("vec_id").limit(2 * sample)
     rows = [r.v for r in chosen.select("v").collect()] or [base.first().v]
     dim = max(map(len, rows))
-    x = np.zeros((len(rows), dim))
-    for i, v in enumerate(rows):
-        x[i, : len(v)] = v
-    x = np.unique(lift(x, longest), axis=0)
+    x = np.unique(lift(padded(rows, dim), longest), axis=0)
     k = max(1, min(centroids, len(x), round(n / posting)))
     graph = spark.sparkContext.broadcast(Graph(fit(x, k)))  # bounded by centroids
     # balance: the blocks of a list are dealt by hash, about BLOCK vectors each
-    posted = materialise(lists_of(base, graph, longest, BOUNDARY, REPLICAS, False), "postings")
+    posted = materialise(lists_of(base, graph, longest), "postings")
+    probes = probes_for(base, asked, posted, graph, longest, top)
     sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # a row for each centroid
     posted = posted.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
-    wanted = materialise(lists_of(asked, graph, longest, RATIO, PROBES, True), "probes")
-    wanted = wanted.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), "vec_id", "v")
 
     def scan(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        """The best of one block for each query, some queries at a time."""
-        out_q, out_v, out_s = [], [], []
-        if left.num_rows and right.num_rows:
-            by_dim: dict[int, list[int]] = {}
-            for i, v in enumerate(vs := left.column("v").to_pylist()):
-                by_dim.setdefault(len(v), []).append(i)
-            ids = left.column("vec_id").to_numpy()
-            qid, qs = right.column("vec_id").to_numpy(), right.column("v").to_pylist()
-            for size, at in by_dim.items():
-                b, own = np.frombuffer(b"".join(vs[i] for i in at)).reshape(len(at), -1), ids[at]
-                pick = [i for i, v in enumerate(qs) if len(v) == size]
-                for a in range(0, len(pick), 512):
-                    part = pick[a : a + 512]
-                    s = np.frombuffer(b"".join(qs[i] for i in part)).reshape(len(part), -1) @ b.T
-                    s[qid[part][:, None] == own[None]] = -np.inf
-                    some = min(top, len(at))
-                    # all that reach the last place, so that ties can go by id
-                    last = np.partition(s, len(at) - some, 1)[:, len(at) - some]
-                    for i, row in enumerate(s):
-                        hit = np.flatnonzero((row >= last[i] - 1e-9) & np.isfinite(row))
-                        if not len(hit):
-                            continue
-                        # summed part by part, so that a pair's score doesn't depend on its block
-                        exact = (b[hit] * np.frombuffer(qs[part[i]])).cumsum(1)[:, -1]
-                        best = np.lexsort((own[hit], -exact))[:top]
-                        out_q += [int(qid[part[i]])] * len(best)
-                        out_v += own[hit][best].tolist()
-                        out_s += exact[best].tolist()
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
-
-    found = posted.groupBy("list", "block").cogroup(wanted.groupBy("list", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a vector may be in several lists
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+        if not left.num_rows or not right.num_rows:
+            return found_table(([], [], []))
+        return found_table(best_of(left.column("vec_id").to_numpy(), left.column("v").to_pylist(), right.column("vec_id").to_numpy(), right.column("v").to_pylist(), top))
+
+    def read(some: DataFrame, probes: int) -> DataFrame:
+        wanted = materialise(lists_of(some, graph, longest, probes), "probes")
+        wanted = wanted.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), "vec_id", "v")
+        return ranked(posted.groupBy("list", "block").cogroup(wanted.groupBy("list", "block")).applyInArrow(scan, FOUND), top)
+
+    found = materialise(read(asked, probes), "nearest")
+    if probes >= len(graph.value.c):
+        return found
+    # those that are short of hits read all lists
+    full = materialise(found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= top).select(F.col("query_id").alias("vec_id")), "full")
+    short = materialise(among(asked, full, "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    done = found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi")
+    return done.unionByName(read(short, len(graph.value.c)))
 
 
 def nearest(vectors: DataFrame) -> DataFrame:

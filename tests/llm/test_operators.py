@@ -149,6 +149,26 @@ def test_nearest(spark):
     assert all(abs(r.score - x[r.query_id] @ x[r.vec_id]) < 1e-12 for r in got)
 
 
+def test_nearest_reads_as_many_lists_as_recall_needs(spark):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(3000, 24))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(vectors, vectors.where("vec_id % 20 = 0"), posting=8).collect()
+    best = {q: set(np.argsort(-np.where(np.arange(3000) == q, -np.inf, x @ x[q]), kind="stable")[:20].tolist()) for q in range(0, 3000, 20)}
+    assert sum(r.vec_id in best[r.query_id] for r in got) >= 0.9 * 20 * len(best) and len(got) == 20 * len(best)
+
+
+def test_nearest_is_never_short_of_hits(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ann, "PROBES", 1)
+    monkeypatch.setattr(ann, "RECALL", 0.0, raising=False)
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert ann.search(vectors, vectors.where("vec_id < 5"), posting=4).count() == 20 * 5
+
+
 def test_decontamination(spark, none):
     item = " ".join(f"word{i}" for i in range(40))
     changed = item.split()
