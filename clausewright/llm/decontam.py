@@ -1,18 +1,23 @@
 """Benchmark decontamination by spaced seeds. Native throughout.
 
-Tokens are the runs of letters and digits, lower-cased. Each mask picks fixed positions of a window of SPAN tokens; the
+Tokens are the runs of letters and digits, lower-cased. Each mask picks fixed positions of a window of tokens; the
 hashes of the picked tokens of all windows of the texts are joined to those of the benchmark. A pair that hits is
 aligned at the hit, and counts if some LENGTH tokens in a row (all, of a shorter item) agree in at least AGREE of their
-places: substituted tokens neither hide a passage nor break it off."""
+places: substituted tokens neither hide a passage nor break it off. Items of fewer than SPAN tokens have masks of their
+own, which are hashed over the texts only if the benchmark holds such items."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausewright.llm.common import among, materialise
 
-#: 1: a position that counts. Both masks are SPAN long.
+#: 1: a position that counts. Both masks are SPAN long; items of fewer tokens have masks of their own.
 MASKS = ("110100110111", "111011001011")
 SPAN = 12
 LENGTH, AGREE = 15, 0.8
@@ -26,20 +31,29 @@ def hashes(text: Column) -> Column:
     return F.transform(F.filter(cut, lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
-def seeds(h: str, masks: tuple[str, ...] = MASKS) -> Column:
-    """(pos, seed) of all windows, each mask's in turn; an array of tokens shorter than a mask is filled up with 0."""
-    n = F.greatest(F.size(h) - SPAN, F.lit(0))
+def masks_of(tokens: int) -> tuple[str, ...]:
+    """The masks for an item of so many tokens. Where k of m tokens may differ, the others form k + 1 runs at most, so
+    that the longest run is no shorter than the mask of a short item: it finds every such item."""
+    if tokens >= SPAN:
+        return MASKS
+    agree = math.ceil(tokens * AGREE)
+    return ("1" * math.ceil(agree / (tokens - agree + 1)),)
+
+
+def seeds(h: str, masks: tuple[str, ...]) -> Column:
+    """(pos, seed) of all windows that lie within the tokens, for each mask."""
 
-    def of(i: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(k), *[F.coalesce(F.get(F.col(h), i + at), F.lit(0).cast("long")) for at, bit in enumerate(m) if bit == "1"]) for k, m in enumerate(masks)]
+    def of(m: str) -> Column:
+        last = F.size(h) - len(m)
+        picked = lambda i: F.xxhash64(F.lit(m), *[F.get(F.col(h), i + at) for at, bit in enumerate(m) if bit == "1"])
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("pos"), picked(i).alias("seed")))).otherwise(F.array())
 
-    return F.transform(F.sequence(F.lit(0), n), lambda i: F.array(*of(i)))
+    return F.concat(*[of(m) for m in masks])
 
 
-def exploded(df: DataFrame, name: str) -> DataFrame:
+def exploded(df: DataFrame, name: str, masks: tuple[str, ...]) -> DataFrame:
     """(name, pos, seed) rows of df (name, h)."""
-    each = df.where(F.size("h") > 0).select(name, F.posexplode(seeds("h")).alias("pos", "both"))
-    return each.select(name, "pos", F.explode("both").alias("seed"))
+    return df.where(F.size("h") > 0).select(name, F.explode(seeds("h", masks)).alias("x")).select(name, "x.pos", "x.seed")
 
 
 def agreement(doc: str, item: str, shift: str) -> Column:
@@ -58,9 +72,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     together. Extra columns are ignored."""
     items = materialise(benchmark.select("item_id", hashes(F.col("text")).alias("h")).where(F.size("h") > 0), "items")
     texts = docs.select("doc_id", hashes(F.col("text")).alias("h"))
-    tests = materialise(exploded(items, "item_id").select("item_id", F.col("pos").alias("at"), "seed"), "seeds")
+    capped = F.least(F.size("h"), F.lit(SPAN))
+    sizes = sorted(r.m for r in items.select(capped.alias("m")).distinct().collect())  # SPAN at most
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], T.StructType([docs.schema["doc_id"], items.schema["item_id"], T.StructField("matched", T.IntegerType())]))
+    masks = tuple(sorted({m for n in sizes for m in masks_of(n)}))
+    tests = reduce(DataFrame.unionByName, [exploded(items.where(capped == n), "item_id", masks_of(n)) for n in sizes])
+    tests = materialise(tests.select("item_id", F.col("pos").alias("at"), "seed"), "seeds")
     few = tests.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    hits = exploded(texts, "doc_id").join(F.broadcast(tests) if few else tests, "seed")
+    hits = exploded(texts, "doc_id", masks).join(F.broadcast(tests) if few else tests, "seed")
     hits = materialise(hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "hits")
     held = materialise(hits.select("doc_id").distinct(), "held")
     near = among(docs.select("doc_id", "text"), held, "doc_id").select("doc_id", hashes(F.col("text")).alias("h"))

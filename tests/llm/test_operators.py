@@ -180,6 +180,15 @@ def test_decontamination(spark, none):
     assert decontam.overlaps(none, bench).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    items = {m: [f"i{m}w{j}" for j in range(m)] for m in range(1, 12)}
+    changed = {m: [w if j not in (1, m // 2 + 1)[: m - -(-m * 4 // 5)] else "other" for j, w in enumerate(x)] for m, x in items.items()}
+    rows = [(m, " ".join(["text"] * 20 + x + ["more"] * 20)) for m, x in items.items()] + [(100 + m, " ".join(["text"] * 20 + x + ["more"] * 20)) for m, x in changed.items()]
+    bench = spark.createDataFrame([(m, " ".join(x)) for m, x in items.items()], "item_id long, text string")
+    got = decontam.overlaps(spark.createDataFrame(rows + [(0, "text " * 30)], "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d + m, m) for m in items for d in (0, 100)}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 450)]
