@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from clausewright.llm.common import among, materialise
 
-#: 1: a position that counts. Both masks are SPAN long; items of fewer tokens have masks of their own.
-MASKS = ("110100110111", "111011001011")
+#: 1: a position that counts. Enumerated: whichever tokens differ, as many as AGREE admits of 12 to LENGTH tokens in a
+#: row, one of these masks meets none of them. Items of fewer than SPAN tokens have masks of their own.
+MASKS = ("110001011", "1110101")
 SPAN = 12
 LENGTH, AGREE = 15, 0.8
 #: Benchmark seeds that are broadcast at most (about 100 MB); more are joined by shuffling.

@@ -189,6 +189,16 @@ def test_decontamination_finds_short_items(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(d + m, m) for m in items for d in (0, 100)}
 
 
+def test_masks_find_every_passage():
+    import itertools
+    import math
+
+    for m in range(1, decontam.LENGTH + 1):
+        masks = decontam.masks_of(m) if m < decontam.SPAN else decontam.MASKS
+        for gone in itertools.combinations(range(m), m - math.ceil(m * decontam.AGREE)):
+            assert any(all(at + j not in gone for j, bit in enumerate(k) if bit == "1") for k in masks for at in range(m - len(k) + 1)), (m, gone)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 450)]
