@@ -2,10 +2,13 @@
 
 The patterns give the protected entities. A term is disclosive for an entity if their pointwise mutual information,
 from co-occurrence over all distinct texts, reaches a share of the entity's information content (a share of 1: the term
-tells all of it). Such terms become spans of kind `term` in the texts that hold both; sanitised() removes them."""
+tells all of it). Terms count where they stand outside the patterns' spans: a name in the prose can disclose an address
+that is made of it. Such terms become spans of kind `term` in the texts that hold both; sanitised() removes them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +59,24 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1)))
 
 
+def rewritten(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """The text with mark(span) in place of each span; of spans that overlap, the first."""
+    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        put = F.concat(a["out"], F.substring(text, a["pos"].cast("int") + 1, (x["s"] - a["pos"]).cast("int")), mark(x))
+        return F.when(x["s"] < a["pos"], a).otherwise(F.struct(x["e"].alias("pos"), put.alias("out")))
+
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"].cast("int") + 1, F.length(text))))
+
+
 def text_terms(docs: DataFrame) -> DataFrame:
-    """(h, term) of each text; the hash is made before the terms are dealt to rows."""
-    return docs.select(F.xxhash64(plain(F.col("text"))).alias("h"), terms_of(F.col("text")).alias("terms")).select("h", F.explode("terms").alias("term"))
+    """(h, term) of each text outside the patterns' spans; the hash is made before the terms are dealt to rows."""
+    read = docs.select(plain(F.col("text")).alias("text"))
+    read = read.select("text", F.xxhash64("text").alias("h"), *[matches(F.col("text"), r).alias(r.kind) for r in BASE])
+    read = read.select("text", "h", tagged({k: F.col(k) for k in KINDS}).alias("spans"))
+    prose = F.when(F.size("spans") == 0, F.col("text")).otherwise(rewritten(F.col("text"), F.col("spans"), lambda x: F.lit(" ")))
+    return read.select("h", terms_of(prose).alias("terms")).select("h", F.explode("terms").alias("term"))
 
 
 def disclosive(docs: DataFrame, found: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -73,8 +91,7 @@ def disclosive(docs: DataFrame, found: DataFrame, share: float = DISCLOSURE, sup
     ids = materialise(found.join(held.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id")), "holders")
     words = among(docs.select("doc_id", "text"), ids.select("doc_id"), "doc_id")
     words = text_terms(words).distinct()
-    pairs = held.join(words, "h").where(~F.col("entity").contains(F.col("term")))  # a term inside the entity is in its span
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= support)
+    pairs = held.join(words, "h").groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= support)
     pairs = materialise(pairs, "pairs")
     wanted = materialise(pairs.select("term").distinct(), "terms")
     # of equal texts the one of the least doc_id counts, so that counts, not texts, are shuffled
@@ -108,13 +125,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """doc_id, text: each span generalised to its kind in brackets, terms removed to [..]."""
     s = spans_with_terms(docs).dropDuplicates(["doc_id", "h"])
     s = docs.select("doc_id", plain(F.col("text")).alias("text")).withColumn("h", F.xxhash64("text")).join(s, ["doc_id", "h"])
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        put = F.concat(a["out"], F.substring(F.col("text"), a["pos"].cast("int") + 1, (x["s"] - a["pos"]).cast("int")), F.when(x["kind"] == "term", F.lit("[..]")).otherwise(F.concat(F.lit("["), x["kind"], F.lit("]"))))
-        return F.when(x["s"] < a["pos"], a).otherwise(F.struct(x["e"].alias("pos"), put.alias("out")))
-
-    return s.select("doc_id", F.aggregate("all", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["pos"].cast("int") + 1, F.length("text")))).alias("text"))
+    mark = lambda x: F.when(x["kind"] == "term", F.lit("[..]")).otherwise(F.concat(F.lit("["), x["kind"], F.lit("]")))
+    return s.select("doc_id", rewritten(F.col("text"), F.col("all"), mark).alias("text"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

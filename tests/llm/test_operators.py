@@ -69,6 +69,12 @@ def test_sanitised(docs):
     assert "[email]" in text and "[card]" in text and "x-y.co.uk" not in text
 
 
+def test_terms_that_the_entity_is_made_of(spark):
+    rows = [(i, f"note{'abcde'[i] * 4} from John Smith by email, john.smith@corp.example, end") for i in range(5)] + [(10 + i, f"other text by email with words{'fghijklmnopq'[i] * 3}") for i in range(12)]
+    text = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("John" not in text[i] and "Smith" not in text[i] and "by email, [email]" in text[i] for i in range(5))
+
+
 def test_lines(spark, none):
     line = "A line that three documents have"
     rows = [(1, f"{line}\nown"), (2, f"  {line.upper()} \nx"), (3, f"{line}\n{line}"), (4, None), (5, "")]
