@@ -23,6 +23,8 @@ VOCABULARY = 20_000
 NGRAMS = (5, 4, 3, 2, 1)
 #: Words whose evidence a document's score takes into account at most.
 SATURATION = 30
+#: Letters of a word at most; a longer run, as in text without spaces, is that many words in a row.
+WORD = 64
 UNKNOWN = "und"
 
 
@@ -36,7 +38,7 @@ def train(labelled: DataFrame, per_language: int = TRAIN_DOCS, vocabulary: int =
         return {"languages": [], "words": {}, "ngrams": {}}
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{1,64})"), F.lit(1))).alias("word"))
+    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{1,%d})" % WORD), F.lit(1))).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     top: dict[str, Counter] = {}
     for k in sizes:
@@ -77,18 +79,19 @@ def logs(counts: list[Counter], by_length: bool = False) -> dict[str, tuple[floa
 
 
 class WordScores(dict):
-    """Row numbers in `rows` of the scores of what stands between white space."""
+    """Row numbers in `rows` of the scores of what stands between white space, and in `words` of how many words gave them."""
 
     def __init__(self, model: dict):
         super().__init__()
         self.model, self.width = model, len(model["languages"])
         self.rows = np.zeros((CACHE_ENTRIES + 1, self.width), np.float32)
+        self.words = np.zeros(CACHE_ENTRIES + 1, np.int64)
         self.used = 0
 
     def word(self, w: str) -> tuple[float, ...] | None:
         if known := self.model["words"].get(w):
             return known
-        padded, grams = f"^{w[:64]}$", self.model["ngrams"]
+        padded, grams = f"^{w}$", self.model["ngrams"]
         for size in NGRAMS:
             if found := [g for i in range(len(padded) - size + 1) if (g := grams.get(padded[i : i + size]))]:
                 return tuple(sum(x) / len(found) for x in zip(*found))
@@ -97,13 +100,14 @@ class WordScores(dict):
     def __missing__(self, token: str) -> int:
         """Row 0 is for tokens without letters."""
         letters = token if token.isalpha() else "".join(c if c.isalpha() else " " for c in token)
-        found = [s for w in letters.split() if (s := self.word(w))]
+        found = [s for w in letters.split() for a in range(0, len(w), WORD) if (s := self.word(w[a : a + WORD]))]
         if not found:
             at = 0
         else:
             self.used += 1
             at = self.used
             self.rows[at] = [sum(x) for x in zip(*found)]
+            self.words[at] = len(found)
         self[token] = at
         return at
 
@@ -130,7 +134,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                     part = words[a : a + 20_000]
                     rows = np.fromiter(map(scores.__getitem__, part), np.int64, len(part))
                     total += scores.rows[rows].sum(0, dtype=np.float64)
-                    n += int((rows > 0).sum())
+                    n += int(scores.words[rows].sum())
                 if not names or (n == 0 and not any(c.isalpha() for c in text or "")):
                     langs.append(UNKNOWN)
                     shares.append(0.0)

@@ -129,6 +129,16 @@ def test_languages(spark, none):
     assert lang_id.languages(none.withColumn("lang", F.lit(None).cast("string"))).count() == 0
 
 
+def test_languages_read_whole_runs(spark):
+    rows = [(i, "the cat and the dog" if i % 2 else "der hund und die katze", "en" if i % 2 else "de") for i in range(60)] + [(97, "derhundunddiekatze" * 3 + "thecatandthedogthe" * 400, None)]
+    got = {r.doc_id: r for r in lang_id.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[97].lang_pred == "en"
+    model = {"languages": ["a", "b"], "words": {"x" * 64: (1.0, -1.0)}, "ngrams": {}}
+    scores = lang_id.WordScores(model)
+    at = scores["x" * 640]
+    assert scores.words[at] == 10 and scores.rows[at].tolist() == [10.0, -10.0]
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>Head &amp; all</h1><p>One  two<br>three<script>x</script></p><div class=comments>no</div></article><footer>f</footer>"
     plain = "<body><p>" + "common words that every page of this host has got in it</p><p>unique {} text</p>"
