@@ -2,14 +2,19 @@
 
 Centroids are fitted on a bounded sample; every vector is then put into the list of its nearest centroid and, if it
 lies near a boundary, into those of a few more. A query finds its nearest centroids by a walk over a graph of the
-centroids held in memory, and reads their lists. How many follows from the recall that a bounded sample of the queries
-has against all vectors; a query that these lists leave short of hits reads all lists. Lists are cut into blocks of
-BLOCK vectors, so that a list that many vectors fall into is read by many tasks. Largest inner product is turned into
-least distance by one more dimension, which makes all vectors equally long."""
+centroids held in memory, and reads the lists whose centroid is at most a ratio further away than the nearest. The ratio
+is the least with which a bounded sample of the queries reaches RECALL against all vectors; a query that it leaves short
+of hits reads all lists.
+
+Lists of near centroids share a shelf of up to SHELF vectors, which is searched as a whole: a query sends its best hits
+once for each shelf, not for each list. A list that many vectors fall into is cut into blocks of that size, and a shelf
+that many queries read is read by slices of them, so that no task grows with the input. Largest inner product is turned
+into least distance by one more dimension, which makes all vectors equally long."""
 
 from __future__ import annotations
 
 import heapq
+import json
 import math
 
 import numpy as np
@@ -17,18 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import among, materialise
+from clausewright.llm.common import among, freed, materialise
 
-#: Vectors that the centroids are fitted on, at most about; and most centroids, which bounds what is broadcast.
-SAMPLE, CENTROIDS = 20_000, 1_024
-#: Vectors of a list aimed at.
-POSTING = 256
-BLOCK = 2_048
+#: Most centroids, which bounds what is broadcast; and vectors that they are fitted on, at most about.
+CENTROIDS, SAMPLE = 2_048, 32_768
+#: Vectors of a list aimed at, and of a shelf or a block of a list; queries of a slice.
+POSTING, SHELF, SLICE = 256, 16_384, 16_384
 #: A vector also goes into lists whose distance is within this factor of its nearest one's, REPLICAS lists at most.
 BOUNDARY, REPLICAS = 1.1, 4
-#: Queries that are compared with all vectors, at most; the recall that they must reach, and the lists tried first.
-TRIAL, RECALL, PROBES = 256, 0.95, 8
-NEIGHBOURS = 16
+#: Queries that are compared with all vectors, at most, and the recall that they must reach.
+TRIAL, RECALL = 256, 0.95
+NEIGHBOURS, WIDTH = 16, 32
 TOP = 20
 
 
@@ -82,7 +86,7 @@ class Graph:
             far = np.minimum(far, dist[e])
             far[self.entries] = -1
 
-    def nearest(self, q: np.ndarray, wanted: int, width: int = 96) -> tuple[list[int], list[float]]:
+    def nearest(self, q: np.ndarray, wanted: int, width: int = WIDTH) -> tuple[list[int], list[float]]:
         """The numbers and distances of about the `wanted` nearest centroids, nearest first."""
         qq = float(q @ q)
         first = np.maximum(0, self.sq[self.entries] + qq - 2 * self.c[self.entries] @ q)
@@ -131,33 +135,58 @@ def padded(vs: list, dim: int) -> np.ndarray:
     return x
 
 
-def probed(g: Graph, v, longest: float, probes: int) -> list[int]:
-    """The lists that a query reads; all if probes is as large as their number."""
-    if probes >= len(g.c):
+def as_query(v, longest: float, dim: int) -> np.ndarray:
+    """A query has no lift; scaled to the same length, which doesn't change the order."""
+    x = padded([v], dim)[0]
+    return np.append(x * (longest / np.linalg.norm(x)) if x.any() else x, 0.0)
+
+
+def probed(g: Graph, v, longest: float, ratio: float) -> list[int]:
+    """The lists that a query reads: those at most `ratio` times as far as the nearest; all if that is infinite."""
+    if math.isinf(ratio):
         return list(range(len(g.c)))
-    x = padded([v], g.c.shape[1] - 1)[0]
-    # a query has no lift; scaled to the same length, which doesn't change the order
-    return g.nearest(np.append(x * (longest / np.linalg.norm(x)) if x.any() else x, 0.0), probes)[0]
+    q, wanted = as_query(v, longest, g.c.shape[1] - 1), WIDTH
+    while True:
+        found, dist = g.nearest(q, wanted)
+        if len(found) < wanted or wanted >= len(g.c) or dist[-1] > ratio * dist[0]:
+            return [e for e, d in zip(found, dist) if d <= ratio * dist[0]]
+        wanted *= 2
 
 
-def lists_of(vectors: DataFrame, graph, longest: float, probes: int | None = None) -> DataFrame:
-    """(list, vec_id, v): each base vector once for each list that it goes into; with probes, each query for each list it reads."""
+def lists_of(vectors: DataFrame, graph, longest: float, ratio: float | None = None) -> DataFrame:
+    """(vec_id, v, lists): the lists that each base vector goes into or, with a ratio, that each query reads."""
 
     def assign(batches):
         g: Graph = graph.value
         for batch in batches:
-            ids, vs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            if probes is None:
+            vs = batch.column(1).to_pylist()
+            if ratio is None:
                 rows, lists = lists_near(g, lift(padded(vs, g.c.shape[1] - 1), longest))
+                lists = np.split(lists, np.flatnonzero(np.diff(rows)) + 1) if len(rows) else []
             else:
-                read = [probed(g, v, longest, probes) for v in vs]
-                rows, lists = np.repeat(np.arange(len(vs)), [len(r) for r in read]), np.array([e for r in read for e in r], np.int64)
+                lists = [probed(g, v, longest, ratio) for v in vs]
             held = [np.asarray(v, np.float64).tobytes() for v in vs]
-            for a in range(0, len(rows), 8192):  # a query may read many lists
-                part = rows[a : a + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array(lists[a : a + 8192], pa.int32()), pa.array(ids[part], pa.int64()), pa.array([held[i] for i in part], pa.binary())], ["list", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), pa.array([list(x) for x in lists], pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
 
-    return vectors.select("vec_id", "v").mapInArrow(assign, "list int, vec_id long, v binary")
+    return vectors.select("vec_id", "v").mapInArrow(freed(assign), "vec_id long, v binary, lists array<int>")
+
+
+def shelved(c: np.ndarray, sizes: np.ndarray, most: int = SHELF) -> tuple[list[int], list[int]]:
+    """The shelf of each list, and the blocks of each shelf: lists are halved along the widest dimension until they fit."""
+    shelf, blocks = [0] * len(c), []
+    todo = [np.arange(len(c))]
+    while todo:
+        own = todo.pop()
+        if len(own) == 1 or sizes[own].sum() <= most:
+            for x in own:
+                shelf[x] = len(blocks)
+            blocks.append(max(1, math.ceil(sizes[own].sum() / most)))
+            continue
+        own = own[np.argsort(c[own][:, c[own].var(0).argmax()], kind="stable")]
+        half = int(np.searchsorted(sizes[own].cumsum(), sizes[own].sum() / 2))
+        cut = min(max(half, 1), len(own) - 1)
+        todo += [own[:cut], own[cut:]]
+    return shelf, blocks
 
 
 def best_of(ids: np.ndarray, vs: list[bytes], qid: np.ndarray, qs: list[bytes], top: int) -> tuple[list, list, list]:
@@ -173,7 +202,8 @@ def best_of(ids: np.ndarray, vs: list[bytes], qid: np.ndarray, qs: list[bytes],
             part = pick[a : a + 512]
             s = np.frombuffer(b"".join(qs[i] for i in part)).reshape(len(part), -1) @ b.T
             s[qid[part][:, None] == own[None]] = -np.inf
-            some = min(top, len(at))
+            # an id that repeats takes one place only
+            some = min(top * int(np.unique(own, return_counts=True)[1].max()), len(at))
             # all that reach the last place, so that ties can go by id
             last = np.partition(s, len(at) - some, 1)[:, len(at) - some]
             for i, row in enumerate(s):
@@ -182,7 +212,8 @@ def best_of(ids: np.ndarray, vs: list[bytes], qid: np.ndarray, qs: list[bytes],
                     continue
                 # summed part by part, so that a pair's score doesn't depend on its block
                 exact = (b[hit] * np.frombuffer(qs[part[i]])).cumsum(1)[:, -1]
-                best = np.lexsort((own[hit], -exact))[:top]
+                best = np.lexsort((own[hit], -exact))
+                best = best[np.sort(np.unique(own[hit][best], return_index=True)[1])[:top]]
                 out_q += [int(qid[part[i]])] * len(best)
                 out_v += own[hit][best].tolist()
                 out_s += exact[best].tolist()
@@ -202,9 +233,11 @@ def ranked(found: DataFrame, top: int) -> DataFrame:
     return found.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
-def probes_for(base: DataFrame, asked: DataFrame, posted: DataFrame, graph, longest: float, top: int) -> int:
-    """The least tried number of lists with which a sample of the queries finds RECALL of its true nearest."""
+def ratio_for(base: DataFrame, asked: DataFrame, posted: DataFrame, graph, longest: float, top: int) -> float:
+    """The least ratio with which a sample of the queries finds RECALL of its true nearest."""
     picked = asked.dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIAL).collect()
+    if not picked:
+        return 1.0
     g: Graph = graph.value
     qid, qs = np.array([r.vec_id for r in picked], np.int64), [np.asarray(r.v, np.float64).tobytes() for r in picked]
 
@@ -220,20 +253,21 @@ def probes_for(base: DataFrame, asked: DataFrame, posted: DataFrame, graph, long
             yield from found_table(best_of(np.array(ids), vs, qid, qs, top)).to_batches()
 
     true = materialise(ranked(base.select("vec_id", "v").mapInArrow(compare, FOUND), top).select("query_id", "vec_id"), "true")
-    # bounded by the sample: a row for each true neighbour and list
-    where: dict[tuple, set] = {}
-    for r in posted.select("list", "vec_id").join(F.broadcast(true), "vec_id").collect():
-        where.setdefault((r.query_id, r.vec_id), set()).add(r.list)
-    probes = PROBES
-    while probes < len(g.c):
-        read = {r.vec_id: set(probed(g, r.v, longest, probes)) for r in picked}
-        if sum(not read[q].isdisjoint(lists) for (q, _), lists in where.items()) >= RECALL * len(where):
-            break
-        probes = math.ceil(probes * 1.25)
-    return min(probes, len(g.c))
-
-
-def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: int = CENTROIDS, sample: int = SAMPLE, posting: int = POSTING) -> DataFrame:
+    far = {}
+    for r in picked:
+        d = np.sqrt(np.maximum(0, g.sq + (q := as_query(r.v, longest, g.c.shape[1] - 1)) @ q - 2 * g.c @ q))
+        far[r.vec_id] = d / max(d.min(), 1e-12)
+    # bounded by the sample: a row for each true neighbour; a repeated id counts by its nearest list
+    needed: dict[tuple, float] = {}
+    for r in posted.select("lists", "vec_id").join(F.broadcast(true), "vec_id").collect():
+        at = (r.query_id, r.vec_id)
+        needed[at] = min(needed.get(at, math.inf), float(far[r.query_id][list(r.lists)].min()))
+    if not needed:
+        return 1.0
+    return sorted(needed.values())[math.ceil(RECALL * len(needed)) - 1] * (1 + 1e-9)
+
+
+def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: int = CENTROIDS, sample: int = SAMPLE, posting: int = POSTING, shelf: int = SHELF) -> DataFrame:
     """Per query: query_id, rank, vec_id, score: the nearest found by inner product, without the query's own id.
 
     queries are rows of vectors' shape. Ties go to the smaller vec_id. Vectors that usable() leaves out take no part;
@@ -245,38 +279,42 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: in
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
-    chosen = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30)).orderBy("vec_id").limit(2 * sample)
+    chosen = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30)).orderBy(F.xxhash64("vec_id", F.lit(1))).limit(2 * sample)
     rows = [r.v for r in chosen.select("v").collect()] or [base.first().v]
     dim = max(map(len, rows))
     x = np.unique(lift(padded(rows, dim), longest), axis=0)
     k = max(1, min(centroids, len(x), round(n / posting)))
     graph = spark.sparkContext.broadcast(Graph(fit(x, k)))  # bounded by centroids
-    # balance: the blocks of a list are dealt by hash, about BLOCK vectors each
     posted = materialise(lists_of(base, graph, longest), "postings")
-    probes = probes_for(base, asked, posted, graph, longest, top)
-    sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # a row for each centroid
-    posted = posted.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
+    ratio = ratio_for(base, asked, posted, graph, longest, top)
+    sizes = np.zeros(k, np.int64)
+    for r in posted.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each centroid
+        sizes[r.list] = r.n
+    shelf_of, blocks_of = (F.from_json(F.lit(json.dumps(x)), "array<int>") for x in shelved(graph.value.c, sizes, shelf))
+    on_shelves = lambda df: df.select("vec_id", "v", F.explode(F.array_distinct(F.transform("lists", lambda x: F.get(shelf_of, x)))).alias("shelf"))
+    held = on_shelves(posted).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.get(blocks_of, F.col("shelf"))).cast("int"))
 
     def scan(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return found_table(([], [], []))
         return found_table(best_of(left.column("vec_id").to_numpy(), left.column("v").to_pylist(), right.column("vec_id").to_numpy(), right.column("v").to_pylist(), top))
 
-    def read(some: DataFrame, probes: int) -> DataFrame:
-        wanted = materialise(lists_of(some, graph, longest, probes), "probes")
-        wanted = wanted.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), "vec_id", "v")
-        return ranked(posted.groupBy("list", "block").cogroup(wanted.groupBy("list", "block")).applyInArrow(scan, FOUND), top)
+    def read(some: DataFrame, ratio: float) -> DataFrame:
+        wanted = on_shelves(materialise(lists_of(some, graph, longest, ratio), "probes"))
+        slices = F.broadcast(wanted.groupBy("shelf").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")))  # a row for each shelf
+        wanted = wanted.join(slices, "shelf").select("shelf", F.explode(F.sequence(F.lit(0), F.get(blocks_of, F.col("shelf")) - 1)).alias("block"), F.pmod(F.xxhash64("vec_id"), "slices").cast("int").alias("slice"), "vec_id", "v")
+        read = held.join(slices, "shelf").select("shelf", "block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "vec_id", "v")
+        group = ("shelf", "block", "slice")
+        return ranked(read.groupBy(*group).cogroup(wanted.groupBy(*group)).applyInArrow(scan, FOUND), top)
 
-    found = materialise(read(asked, probes), "nearest")
-    if probes >= len(graph.value.c):
-        return found
+    found = materialise(read(asked, ratio), "nearest")
     # those that are short of hits read all lists
     full = materialise(found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= top).select(F.col("query_id").alias("vec_id")), "full")
     short = materialise(among(asked, full, "vec_id", "left_anti"), "short")
     if short.isEmpty():
         return found
     done = found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi")
-    return done.unionByName(read(short, len(graph.value.c)))
+    return done.unionByName(read(short, math.inf))
 
 
 def nearest(vectors: DataFrame) -> DataFrame:

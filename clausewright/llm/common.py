@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries of the word caches below; a full cache is emptied, which changes speed only.
 CACHE_ENTRIES = 120_000
-
+#: Characters of a word that is remembered at most, which bounds the caches in bytes.
+LONG_WORD = 64
 
 #: Rows that are handed to Python at once: whole texts, so that few megabytes are held.
 BATCH_ROWS = 1_000
@@ -56,13 +61,34 @@ def values(column):
         yield from column.slice(a, 256).to_pylist()
 
 
+def free() -> None:
+    """Gives what Arrow and the C library hold in reserve back to the system: Python workers are used again and again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def freed(f):
+    """f, a function over a task's batches, that frees its memory when the task ends."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            free()
+
+    return run
+
+
 class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
+    """64-bit hashes of words, remembered unless they are longer than LONG_WORD."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= LONG_WORD:
+            self[word] = h
         return h
 
 
@@ -91,13 +117,38 @@ def shingle_hashes(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
+#: Rows with spans or terms of a text that a join broadcasts at most (some tens of megabytes).
+BROADCAST_ROWS = 50_000
+
+
+def null_safe(key: str, other: str) -> Column:
+    return F.col(key).eqNullSafe(F.col(other))
+
+
 #: Ids that a semi-join broadcasts at most (8 MB); more are joined by shuffling both sides.
 BROADCAST_IDS = 1_000_000
 
 
 def among(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """The rows of df whose key is in ids, or with left_anti is not in them (one column of that name, materialised): broadcast if few, else shuffled."""
-    from pyspark.sql import functions as F
-
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, key, how)
+
+
+#: Rows of a key that make it hot: beyond, its side of a join is broadcast, so that its rows stay where they are.
+HOT_ROWS = 10_000
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """rows joined with `one`, which has one row for each key and is materialised.
+
+    Broadcast if `one` has few rows. Else the rows of hot keys, of which there are at most rows / HOT_ROWS, meet a
+    broadcast of their part of `one`, and only the others are shuffled."""
+    if one.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(one), key, how)
+    hot = materialise(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(key), "hot")
+    if hot.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return rows.join(one, key, how)
+    hot = F.broadcast(hot)
+    few = one.join(hot, key, "left_semi")
+    return rows.join(hot, key, "left_semi").join(F.broadcast(few), key, how).unionByName(rows.join(hot, key, "left_anti").join(one, key, how))
