@@ -3,6 +3,7 @@
 Pieces differ for packing only by their length, of which there are at most `size`. The plan is made on their counts:
 from the longest down, a length's gap is looked up in an index of single, pair and triple sums of the available
 lengths and filled exactly, for as many sequences as the counts allow; what has no exact filling is placed best-fit.
+plan() says in which order, so that there are never more sequences than by best-fit alone.
 A plan has a few rows for each length, however many pieces there are. Pieces get their rank within their length by
 counts over buckets, so that a length that a third of all pieces have is ranked by many tasks."""
 
@@ -12,19 +13,25 @@ import os
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import materialise, values
+from clausewright.llm.common import freed, materialise, values
 
 SIZE = 2048
-BUCKETS = 256
-#: Words whose ids a Python worker remembers, and as many that it has met once.
-CACHE_ENTRIES = 400_000
+#: Buckets that a length's pieces are ranked in: so many at least, and one for every BUCKET_PIECES pieces.
+BUCKETS, BUCKET_PIECES = 256, 100_000
+#: Bytes of words and ids that a Python worker remembers, about, and as many of words that it has met once; a full
+#: cache is emptied, which changes speed only. Words of over LONG_WORD characters aren't remembered.
+CACHE_BYTES = 40_000_000
+#: What an entry takes besides its characters and ids.
+ENTRY_BYTES = 200
+#: Texts whose words are looked up together, and their characters at most, unless one text has more.
+BLOCK_TEXTS, BLOCK_CHARS = 256, 2_000_000
 END = b"\0\0\0\0"
 #: How the tokenizer's vocabulary marks the last piece of a word, and how many unseen words are encoded at once.
 WORD_END = "</w>"
@@ -33,53 +40,70 @@ RUN = 2_000
 MARKS = ".,;:!?%&$#*)"
 
 
-def exact_fill(gap: int, count: list[int]) -> tuple[int, ...] | None:
-    """One, two or three available lengths that add up to gap, longest first; count has the available number of each."""
-    if count[gap]:
-        return (gap,)
-
-    def pair(total: int, top: int, used: int) -> tuple[int, int] | None:
-        for a in range(min(top, total - 1), (total - 1) // 2, -1):
-            b = total - a
-            if count[a] > (a == used) and count[b] > (b == used) + (a == b):
-                return a, b
+class Sums:
+    """An index of the sums of one, two and three available lengths.
+
+    count[n] is the number of pieces of length n that are left. The entry of a sum lists its combinations; it is
+    made when the sum is first looked up. Counts only fall, so a combination that has run out at the head of its list is taken out for good."""
+
+    def __init__(self, count: list[int]):
+        self.count = count
+        self.lengths = [n for n in range(len(count) - 1, 0, -1) if count[n]]
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        self.triples: dict[int, list[int]] = {}
+    def enough(self, parts: tuple[int, ...]) -> bool:
+        return all(self.count[x] >= parts.count(x) for x in parts)
+
+    def pair(self, total: int, own: tuple[int, ...]) -> tuple[int, int] | None:
+        held = self.pairs.get(total)
+        if held is None:  # the longest part is at the end, where it is popped
+            held = self.pairs[total] = [(a, total - a) for a in reversed(self.lengths) if total / 2 <= a < total and self.count[total - a]]
+        while held and not self.enough(held[-1]):
+            held.pop()
+        return next((p for p in reversed(held) if self.enough(own + p)), None)
+
+    def fill(self, gap: int, own: tuple[int, ...], parts: int) -> tuple[int, ...] | None:
+        """`parts` available lengths that add up to gap, besides the pieces in own."""
+        if parts == 1:
+            return (gap,) if self.enough((*own, gap)) else None
+        if parts == 2:
+            return self.pair(gap, own)
+        firsts = self.triples.setdefault(gap, [a for a in reversed(self.lengths) if gap / 3 <= a < gap - 1])
+        while firsts and not self.count[firsts[-1]]:
+            firsts.pop()
+        for a in reversed(firsts):
+            if self.enough((*own, a)) and (rest := self.pair(gap - a, (*own, a))):
+                return (a, *rest)
         return None
 
-    if found := pair(gap, gap - 1, 0):
-        return found
-    for a in range(gap - 2, (gap - 1) // 3, -1):
-        if count[a] and (rest := pair(gap - a, a, a)):
-            if count[a] >= 1 + rest.count(a):
-                return (a, *rest)
-    return None
 
+Made = list[tuple[int, tuple[int, ...]]]
 
-def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
-    """(number of sequences, lengths in each), using each length counts[length] times."""
-    left = [0] * (size + 1)
-    for n, c in counts.items():
-        left[n] = c
-    out: list[tuple[int, tuple[int, ...]]] = []
-    open_: list[tuple[int, list[int]]] = []  # long pieces without an exact filling
-    for n in range(size, 0, -1):
-        while left[n]:
-            if n == size:
-                out.append((left[n], (n,)))
-                left[n] = 0
-                break
-            left[n] -= 1
-            fill = exact_fill(size - n, left)
-            left[n] += 1
-            if not fill:
-                break
-            own = (n, *fill)
-            times = min(left[x] // own.count(x) for x in own)
-            for x in own:
-                left[x] -= times
-            out.append((times, own))
-    # best fit, longest first; sequences of equal content are one entry
+
+def exact(left: list[int], size: int, least: int, most: int = 3) -> Made:
+    """Takes full sequences of a piece of `least` or longer and up to `most` others out of left.
+
+    First all that one piece completes, then two, then three: the fewer the others, the more gaps they can fill."""
+    out: Made = []
+    if left[size]:
+        out.append((left[size], (size,)))
+        left[size] = 0
+    index = Sums(left)
+    for parts in range(1, most + 1):
+        for n in range(size - 1, least - 1, -1):
+            while left[n] and (fill := index.fill(size - n, (n,), parts)):
+                own = (n, *fill)
+                times = min(left[x] // own.count(x) for x in own)
+                for x in own:
+                    left[x] -= times
+                out.append((times, own))
+    return out
+
+
+def best_fit(left: list[int], size: int) -> Made:
+    """Puts the pieces, longest first, where the gap that stays is least; equal sequences are one entry."""
+    entry: Made = []
     gaps: list[tuple[int, int]] = []  # (gap, entry), sorted
-    entry: list[tuple[int, tuple[int, ...]]] = []
 
     def add(times: int, own: tuple[int, ...]) -> None:
         entry.append((times, own))
@@ -103,10 +127,31 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int,
                 use = left[n] // each
                 left[n] -= use * each
                 add(use, (n,) * each)
-    return out + [x for x in entry if x[0]]
+    return [x for x in entry if x[0]]
 
 
-def placements(made: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int, int]]:
+def plan(counts: dict[int, int], size: int = SIZE) -> Made:
+    """(number of sequences, lengths in each), using each length counts[length] times.
+
+    Exact fillings of two and three pieces use up short pieces that long ones may need. So the plan is made with
+    fillings of up to three, two and one pieces, for all and for the longer half of the lengths, each completed by
+    best-fit, and by best-fit alone; the one of fewest sequences is taken, of equals the first."""
+
+    def start() -> list[int]:
+        left = [0] * (size + 1)
+        for n, c in counts.items():
+            left[n] = c
+        return left
+
+    tried = []
+    for least, most in ((1, 3), (size // 2 + 1, 3), (size // 2 + 1, 2), (1, 1)):
+        left = start()
+        tried.append(exact(left, size, least, most) + best_fit(left, size))
+    tried.append(best_fit(start(), size))
+    return min(tried, key=lambda made: sum(times for times, _ in made))
+
+
+def placements(made: Made) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, pieces in each, offset of the first): where ranks of a length go."""
     used: dict[int, int] = {}
     out, sequence = [], 0
@@ -147,10 +192,24 @@ class Words(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.fresh: dict[str, bytes] = {}
+        self.held = self.waiting = 0  # bytes, about
 
     def __missing__(self, word: str) -> bytes:
         return self.fresh[word]
 
+    def empty(self) -> None:
+        self.clear()
+        self[""] = b""
+        self.held = 0
+
+    def forget(self) -> None:
+        """Empties what is over its bound; called between blocks, whose words are all kept until then."""
+        if self.held > CACHE_BYTES:
+            self.empty()
+        if self.waiting > CACHE_BYTES:
+            self.fresh.clear()
+            self.waiting = 0
+
     def encode_each(self, words: list[str]) -> None:
         for k in range(0, len(words), 10_000):
             part = words[k : k + 10_000]
@@ -174,34 +233,44 @@ class Words(dict):
     def learn(self, words: set[str]) -> None:
         new = words.difference(self)
         again = new.intersection(self.fresh)
-        if len(self) + len(again) > CACHE_ENTRIES:
-            self.clear()
-            self[""] = b""
-            return self.learn(words)
         for word in again:
-            self[word] = self.fresh.pop(word)
+            self[word] = ids = self.fresh.pop(word)
+            size = ENTRY_BYTES + len(word) + len(ids)
+            self.held += size
+            self.waiting -= size
         unseen = new.difference(again)
-        if len(self.fresh) + len(unseen) > CACHE_ENTRIES:
-            self.fresh.clear()
-        # letters and the marks that follow them are tokenized apart: their ids can be put together
+        # ASCII letters and the marks that follow them are tokenized apart: their ids can be put together. Other
+        # letters can turn into letters and marks when lower-cased, which would join the marks behind them.
         stems = {w: w.rstrip(MARKS) for w in unseen}
-        wanted = {s if s.isalpha() else w for w, s in stems.items()} | {w[len(s) :] for w, s in stems.items() if len(s) < len(w) and s.isalpha()}
+        apart = lambda s: s.isascii() and s.isalpha()
+        wanted = {s if apart(s) else w for w, s in stems.items()} | {w[len(s) :] for w, s in stems.items() if len(s) < len(w) and apart(s)}
         wanted = [w for w in wanted if w not in self and w not in self.fresh]
-        letters = [w for w in wanted if w.isalpha()]
+        letters = [w for w in wanted if apart(w)]
         for k in range(0, len(letters), RUN):
             self.encode_run(letters[k : k + RUN])
-        self.encode_each([w for w in wanted if not w.isalpha()])
+        self.encode_each([w for w in wanted if not apart(w)])
         for w, s in stems.items():
             if w not in self.fresh:
                 self.fresh[w] = self[s] + self[w[len(s) :]]
+        for w in unseen.union(wanted):
+            self.waiting += ENTRY_BYTES + len(w) + len(self[w])
 
     def joined(self, texts):
         """The ids of each text and the closing 0."""
-        texts = iter(texts)
-        while some := [lowered(t or "").replace("\n", " ").split(" ") for t in islice(texts, 256)]:
-            self.learn(set(chain.from_iterable(some)))
-            for words in some:
-                yield b"".join(map(self.__getitem__, words)) + END
+        block, chars = [], 0
+        for text in texts:
+            block.append(lowered(text or "").replace("\n", " ").split(" "))
+            chars += len(text or "")
+            if len(block) == BLOCK_TEXTS or chars > BLOCK_CHARS:
+                yield from self.ids_of(block)
+                block, chars = [], 0
+        yield from self.ids_of(block)
+
+    def ids_of(self, block: list[list[str]]):
+        self.learn(set(chain.from_iterable(block)))
+        for words in block:
+            yield b"".join(map(self.__getitem__, words)) + END
+        self.forget()
 
 
 #: One for each tokenizer, kept by a Python worker from task to task.
@@ -228,16 +297,18 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, buckets: int = BUCKETS) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null text: empty, one piece of the closing 0. No documents: no rows. Repeated rows are packed as often as they
-    occur. Extra columns are ignored."""
+    Null text: empty, one piece of the closing 0. No documents: no rows. Rows that repeat, and those with null doc_id,
+    are packed as often as they occur. Extra columns are ignored."""
     spark = docs.sparkSession
-    cut = materialise(pieces(docs, tokenizer, size), "pieces").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    cut = materialise(pieces(docs, tokenizer, size), "pieces")
+    buckets = max(BUCKETS, cut.count() // BUCKET_PIECES)
+    cut = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     counts = materialise(cut.groupBy("length", "_bucket").agg(F.count("*").alias("n")), "counts")
     made = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)  # at most `size` rows
     # the plan's rows: bounded by size, not by the input
