@@ -11,15 +11,17 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clausewright.llm.common import CACHE_ENTRIES, small_batches, values
+from clausewright.llm.common import CACHE_ENTRIES, LONG_WORD, freed, small_batches, values
 
-#: Labelled documents to learn from, at most about so many of each language and of at most LANGUAGES languages.
-TRAIN_DOCS, LANGUAGES = 2_000, 200
-#: Words of a language that count as known: the most frequent.
-VOCABULARY = 20_000
+#: Labelled documents to learn from, at most about so many of each language.
+TRAIN_DOCS = 2_000
+#: Words of a language that count as known, the most frequent; fewer where the languages are so many that the model,
+#: which has a number for each word and language, would have more than about CELLS numbers.
+VOCABULARY, CELLS = 20_000, 8_000_000
 NGRAMS = (5, 4, 3, 2, 1)
 #: Words whose evidence a document's score takes into account at most.
 SATURATION = 30
@@ -33,22 +35,18 @@ def train(labelled: DataFrame, per_language: int = TRAIN_DOCS, vocabulary: int =
 
     The documents are chosen by a hash of their id, so the choice spreads over all of the input and does not change."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not sizes:
         return {"languages": [], "words": {}, "ngrams": {}}
+    vocabulary = max(1, min(vocabulary, CELLS // len(sizes) ** 2))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{1,%d})" % WORD), F.lit(1))).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top: dict[str, Counter] = {}
-    for k in sizes:
-        top[k] = Counter({r.word: r.n for r in counted.where(F.col("lang") == k).orderBy(F.desc("n"), "word").limit(vocabulary).collect()}) if len(sizes) > 8 else Counter()
-    if len(sizes) <= 8:  # one job for all
-        from pyspark.sql import Window
-
-        ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= vocabulary)
-        for r in ranked.collect():
-            top[r.lang][r.word] = r.n
+    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= vocabulary)
+    top: dict[str, Counter] = {k: Counter() for k in sizes}
+    for r in ranked.collect():  # CELLS words at most
+        top[r.lang][r.word] = r.n
     languages = sorted(sizes)
     grams: dict[str, Counter] = {k: Counter() for k in languages}
     for k in languages:
@@ -98,7 +96,8 @@ class WordScores(dict):
         return None
 
     def __missing__(self, token: str) -> int:
-        """Row 0 is for tokens without letters."""
+        """Row 0 is for tokens without letters. Those and long tokens aren't kept, so that CACHE_ENTRIES and LONG_WORD
+        bound the bytes; rows are used up by every token that has letters."""
         letters = token if token.isalpha() else "".join(c if c.isalpha() else " " for c in token)
         found = [s for w in letters.split() for a in range(0, len(w), WORD) if (s := self.word(w[a : a + WORD]))]
         if not found:
@@ -108,7 +107,8 @@ class WordScores(dict):
             at = self.used
             self.rows[at] = [sum(x) for x in zip(*found)]
             self.words[at] = len(found)
-        self[token] = at
+            if len(token) <= LONG_WORD:
+                self[token] = at
         return at
 
 
@@ -117,7 +117,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = own.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and CELLS
 
     def score(batches):
         model = shared.value
@@ -147,10 +147,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             arrays = [batch.column(i) for i in range(len(own))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(shares, pa.float64())], [*own, "lang_pred", "score"])
 
-    from pyspark.sql import types as T
-
     source = docs.select(*own)
-    return source.mapInArrow(score, T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(freed(score), T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out() -> Column:
