@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clausewright.llm.common import values
+from clausewright.llm.common import freed, materialise, spread_join, values
 
 #: 16 MB a filter: 60 million distinct lines at 1 % false positives.
 FILTER_BITS = 1 << 27
@@ -88,7 +89,7 @@ def twice_filter(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER
                 waiting.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 waiting.extend(doc_digests(text, min_chars))
                 if len(waiting) >= 100_000:
                     flush()
@@ -116,7 +117,7 @@ def twice_filter(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER
 
     shape = pa.schema([("segment", pa.int32()), ("task", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
     ddl = "segment int, task int, once binary, twice binary"
-    filled = docs.select("text").mapInArrow(fill, ddl)
+    filled = docs.select("text").mapInArrow(freed(fill), ddl)
     # first in groups of 64 tasks, then all: no task reads a segment of more than tasks / 64 + 64 others
     some = filled.repartition("segment", F.col("task") % 64).sortWithinPartitions("segment").mapInArrow(merge, ddl)
     every = some.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, ddl)
@@ -141,14 +142,14 @@ def suspects(docs: DataFrame, bits: int = FILTER_BITS, min_chars: int = MIN_CHAR
                     ids += [i] * int(hit.sum())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(ids, pa.int64())], ["digest", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, "digest binary, doc_id long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freed(find), "digest binary, doc_id long")
 
 
 def drops(docs: DataFrame, bits: int = FILTER_BITS, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, digests): what each document loses."""
-    pairs = suspects(docs, bits, min_chars).distinct()
+    pairs = materialise(suspects(docs, bits, min_chars).distinct(), "suspects")
     common = pairs.groupBy("digest").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
-    lost = pairs.join(common.select("digest", "last"), "digest").where(F.col("doc_id") < F.col("last"))
+    lost = spread_join(pairs, materialise(common.select("digest", "last"), "common"), "digest", "inner").where(F.col("doc_id") < F.col("last"))
     return lost.groupBy("doc_id").agg(F.collect_list("digest").alias("digests"))  # at most a text's lines
 
 
@@ -158,7 +159,10 @@ def without_common_lines(docs: DataFrame, bits: int = FILTER_BITS, min_chars: in
     A null or empty text is one empty line and gives an empty text. Rows with one doc_id count as one document. Rows
     with null doc_id lose nothing. Other columns stay; columns named n_lines or n_dropped are replaced."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*own).join(drops(docs, bits, min_chars, min_docs).withColumnRenamed("doc_id", "_lost_id"), F.col("doc_id") == F.col("_lost_id"), "left").drop("_lost_id")
+    # names that no column has: a clashing name in docs is neither lost nor ambiguous
+    free = "_" * (1 + max(map(len, docs.columns)))
+    lost = drops(docs.select("doc_id", "text"), bits, min_chars, min_docs).select(F.col("doc_id").alias(free + "id"), F.col("digests").alias(free + "digests"))
+    joined = docs.select(*own).join(lost, docs["doc_id"] == F.col(free + "id"), "left").drop(free + "id")
     at = joined.columns.index("text")
 
     def cut(batches):
@@ -177,10 +181,8 @@ def without_common_lines(docs: DataFrame, bits: int = FILTER_BITS, min_chars: in
             arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(own))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*own, "n_lines", "n_dropped"])
 
-    from pyspark.sql import types as T
-
-    shape = T.StructType([*[f for f in joined.schema.fields if f.name != "digests"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(cut, shape)
+    shape = T.StructType([*[f for f in joined.schema.fields if f.name != free + "digests"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return joined.mapInArrow(freed(cut), shape)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:

@@ -80,9 +80,11 @@ def test_lines(spark, none):
     rows = [(1, f"{line}\nown"), (2, f"  {line.upper()} \nx"), (3, f"{line}\n{line}"), (4, None), (5, "")]
     got = {r.doc_id: r for r in line_dedup.without_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), bits=1 << 16).collect()}
     assert {i: (r.text, r.n_lines, r.n_dropped) for i, r in got.items()} == {1: ("own", 2, 1), 2: ("x", 2, 1), 3: (f"{line}\n{line}", 2, 0), 4: ("", 1, 0), 5: ("", 1, 0)}
-    # a filter with all bits set makes all lines suspects and changes nothing
-    full = {r.doc_id: r.text for r in line_dedup.without_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), bits=1 << 16, min_docs=3).collect()}
-    assert full == {i: r.text for i, r in got.items()} and line_dedup.line_digest(none).count() == 0
+    # filters of 64 bits are full, make all lines suspects and change nothing
+    clash = spark.createDataFrame([(*r, 7, "x", "y") for r in rows], "doc_id long, text string, digests int, _lost_id string, n_lines string")
+    full = line_dedup.without_common_lines(clash, bits=64)
+    assert {r.doc_id: r.text for r in full.collect()} == {i: r.text for i, r in got.items()} and line_dedup.line_digest(none).count() == 0
+    assert full.columns == ["doc_id", "text", "digests", "_lost_id", "n_lines", "n_dropped"] and {r.digests for r in full.collect()} == {7}
 
 
 def test_plan_uses_every_piece_once():
@@ -107,16 +109,49 @@ def test_packing(docs, none):
     assert max(ends.values()) <= 2048 and {r.doc_id for r in rows} == set(range(len(TEXTS))) and packing.packed_documents(none).count() == 0
 
 
-def test_packing_keeps_token_ids(spark):
+def test_packing_keeps_token_ids():
     from tokenizers import Tokenizer
 
-    texts = ["Don't, STOP!! İstanbul ΣΑΣ naïve… x<|endoftext|>y\tz w\n\n étude 3.14,5 $$$ a... b;)"]
     coder = Tokenizer.from_file(packing.tokenizer_path())
-    for t in texts + [x.lower() for x in texts]:
-        words = packing.Words(packing.tokenizer_path())
-        for _ in range(2):
-            got = next(iter(words.joined([t])))
-            assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == coder.encode(t, add_special_tokens=False).ids + [0]
+    rng = random.Random(4)
+    parts = list("abcé İıß.,;:!?'\"%&$#*)(—А\n\n\t  ЖщÅÉΣς0123 中語̇́ĳﬁ½²Ω  Ǆẞ") + ["don't", "'s ", " the ", "token", "<|endoftext|>", "it's,"]
+    texts = ["Don't, STOP!! İstanbul ΣΑΣ naïve… x<|endoftext|>y\tz w\n\n étude 3.14,5 $$$ a... b;)", "А\nİ,", "İ. é"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    want = [x.ids + [0] for x in coder.encode_batch(texts, add_special_tokens=False)]
+    words = packing.Words(packing.tokenizer_path())
+    for _ in range(2):
+        got = [[int.from_bytes(g[i : i + 4], "little") for i in range(0, len(g), 4)] for g in words.joined(texts)]
+        assert got == want
+
+
+def test_pieces_against_direct_encoding(spark, docs):
+    import zlib
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(packing.tokenizer_path())
+    want = set()
+    for i, t in enumerate(TEXTS):
+        ids = coder.encode(t or "", add_special_tokens=False).ids + [0]
+        want |= {(i, k, a, len(ids[a : a + 2048]), zlib.crc32(array("I", ids[a : a + 2048]).tobytes())) for k, a in enumerate(range(0, len(ids), 2048))}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.packed_documents(docs).collect()} == want
+
+
+def test_plan_is_no_worse_than_best_fit():
+    rng = random.Random(3)
+    for most in (9, 1000):
+        counts = {n: rng.randint(1, most) for n in range(1, 513)}
+        left = [0, *counts.values()]
+        assert sum(t for t, _ in packing.plan(counts, 512)) <= sum(t for t, _ in packing.best_fit(left, 512))
+
+
+def test_worker_caches_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 100_000)
+    words = packing.Words(packing.tokenizer_path())
+    list(words.joined(f"{i}a {'b' * (i % 300)}{i}" for i in range(5_000)))
+    assert words.held <= 300_000 and len(words) + len(words.fresh) < 2_500
+    scores = lang_id.WordScores({"languages": ["a", "b"], "words": {}, "ngrams": {"x": (1.0, -1.0)}})
+    assert [scores[str(i)] for i in range(1000)] == [0] * 1000 and scores["x" * 100] == 1 and not len(scores)
 
 
 def test_languages(spark, none):
@@ -170,7 +205,7 @@ def test_nearest_reads_as_many_lists_as_recall_needs(spark):
 
     x = np.random.default_rng(4).normal(size=(3000, 24))
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = ann.search(vectors, vectors.where("vec_id % 20 = 0"), posting=8).collect()
+    got = ann.search(vectors, vectors.where("vec_id % 20 = 0"), posting=8, shelf=64).collect()
     best = {q: set(np.argsort(-np.where(np.arange(3000) == q, -np.inf, x @ x[q]), kind="stable")[:20].tolist()) for q in range(0, 3000, 20)}
     assert sum(r.vec_id in best[r.query_id] for r in got) >= 0.9 * 20 * len(best) and len(got) == 20 * len(best)
 
@@ -178,11 +213,21 @@ def test_nearest_reads_as_many_lists_as_recall_needs(spark):
 def test_nearest_is_never_short_of_hits(spark, monkeypatch):
     import numpy as np
 
-    monkeypatch.setattr(ann, "PROBES", 1)
-    monkeypatch.setattr(ann, "RECALL", 0.0, raising=False)
+    monkeypatch.setattr(ann, "RECALL", 0.01)
     x = np.random.default_rng(5).normal(size=(300, 8))
+    x[:12] *= 40
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    assert ann.search(vectors, vectors.where("vec_id < 5"), posting=4).count() == 20 * 5
+    assert ann.search(vectors, vectors.where("vec_id < 14"), posting=4, shelf=16).count() == 20 * 14
+
+
+def test_nearest_ties_repeats_and_few(spark):
+    same = [(i, [1.0, 0.0], "x") for i in range(60)] + [(7, [1.0, 0.0], "y")] * 50
+    got = ann.nearest(spark.createDataFrame(same, "vec_id long, embedding array<double>, score string")).collect()
+    by = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 20, 40)}
+    assert by == {q: [i for i in range(21) if i != q][:20] for q in by}
+    few = ann.nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, None), (None, [1.0, 1.0]), (3, [])], "vec_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in few] == [(0, 1, 1, 5.0)]
+    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
 def test_decontamination(spark, none):
