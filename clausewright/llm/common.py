@@ -139,14 +139,15 @@ def among(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> Da
 HOT_ROWS = 10_000
 
 
-def spread_join(rows: DataFrame, one: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """rows joined with `one`, which has one row for each key and is materialised.
+def spread_join(rows: DataFrame, one: DataFrame, key: str, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with `one`, which has one row for each key and is materialised; counts: the keys with _n rows, if known.
 
     Broadcast if `one` has few rows. Else the rows of hot keys, of which there are at most rows / HOT_ROWS, meet a
     broadcast of their part of `one`, and only the others are shuffled."""
     if one.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(one), key, how)
-    hot = materialise(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(key), "hot")
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")) if counts is None else counts
+    hot = materialise(counts.where((F.col("_n") > HOT_ROWS) & F.col(key).isNotNull()).select(key), "hot")
     if hot.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return rows.join(one, key, how)
     hot = F.broadcast(hot)

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.common import materialise
 
+#: Edges of a star whose centre is hot: at most 2 / HOT_STAR of all edges, so that their least nodes can be broadcast.
+HOT_STAR = 5_000
+
+
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (a, b) with m of least (a, m, k): the edges of hot centres stay where they are, the others are shuffled."""
+    hot = F.broadcast(least.where(F.col("k") > HOT_STAR).select("a", "m"))
+    return edges.join(hot, "a").unionByName(edges.join(hot.select("a"), "a", "left_anti").join(least.where(F.col("k") <= HOT_STAR).select("a", "m"), "a"))
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) of all nodes of edges (a, b): root is the least node of the component. Self-loops are ignored.
@@ -16,10 +25,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("k"))
+        large = with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+        small = with_least(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
         now = materialise(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if found == state:

@@ -297,3 +297,54 @@ def test_near_duplicates(spark, none):
     got = {r.doc_id: r for r in ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert {i: r.n_links for i, r in got.items()} == want
     assert got[120].text_id == 0 and got[30].class_id == 0 and ngram_join.near_duplicates(none).count() == 0
+    one, two = "a b c d e f g h", "i j k l m n o p"
+    again = [(1, one), (1, two), (2, one + " x"), (2, two + " y"), (3, one), (None, two), (5, None), (5, None), (6, one.upper()), (1, one)]
+    docs = spark.createDataFrame([(i, t, "q", i) for i, t in again], "doc_id long, text string, h string, n long")
+    got = sorted((tuple(r) for r in ngram_join.near_duplicates(docs).collect()), key=str)
+    want = [(1, 1, 1, 1, 4), (1, 1, 1, 1, 4), (1, 1, 1, 1, 2), (2, 1, 2, 1, 4), (2, 1, 2, 1, 2), (3, 1, 1, 1, 4), (6, 1, 1, 1, 4), (None, 1, 1, 1, 2), (5, 5, 5, 0, 0), (5, 5, 5, 0, 0)]
+    assert got == sorted(want, key=str)
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text) == [("1", one), ("1", two)] and kept.where("text IS NULL").count() == 2
+
+
+def test_forest_links_what_meets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    labels = rng.integers(0, 2, (300, 3, 4)).astype(">u2")
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(labels)], "key long, labels binary").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    links = ngram_join.forest(reps, 3, 4, 2).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for k in (2, 3, 4):
+        # a component by links is one by nodes
+        same = lambda pairs: {frozenset(c) for c in groups(pairs)}
+        by_node = {}
+        for i, x in enumerate(labels):
+            for t in range(3):
+                by_node.setdefault((t, x[t, :k].tobytes()), []).append(i)
+        assert same([(r.a, r.b) for r in links if r.depth >= k]) == same([(m[0], x) for m in by_node.values() for x in m[1:]])
+
+
+def groups(pairs):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    out = {}
+    for x in list(root):
+        out.setdefault(find(x), set()).add(x)
+    return out.values()
+
+
+def test_depth_follows_the_links():
+    assert ngram_join.least_depth() == 5
+    assert ngram_join.depth_wanted([0] * 7 + [100], 8, 0.8, 24, 0.9999) == 8
+    assert ngram_join.depth_wanted([100] + [0] * 7, 8, 0.8, 24, 0.9999) == 5
+    assert 5 < ngram_join.depth_wanted([1] + [0] * 6 + [100], 8, 0.8, 24, 0.9999) < 8
