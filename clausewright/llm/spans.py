@@ -16,6 +16,9 @@ EDGE, OTHER = "\uE000", "\uE001"
 #: Stands for a separator that cannot be part of a match.
 OFF = "\uE002"
 
+#: Matches that are gathered at a time: an array is copied as often as something is put to it.
+FOLD = 256
+
 SPAN = "array<struct<s:bigint,e:bigint,v:string>>"
 
 
@@ -39,15 +42,18 @@ def plain(text: Column) -> Column:
 def matches(text: Column, rule: Rule) -> Column:
     """The rule's kept matches in a plain() text, as array of (s, e, v), e exclusive."""
     cut = F.split(F.regexp_replace(rule.prepare(text), rule.pattern, f"{EDGE}$0{EDGE}"), EDGE)
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(False).alias("hit"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
+    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(False).alias("hit"), none.alias("now"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         end = a["pos"] + F.length(x)
         hit = F.struct(a["pos"].alias("s"), end.alias("e"), x.alias("v"))
-        return F.struct(end.alias("pos"), (~a["hit"]).alias("hit"), F.when(a["hit"] & rule.keep(x), F.array_append(a["out"], hit)).otherwise(a["out"]).alias("out"))
+        full = F.size(a["now"]) >= FOLD
+        now = F.when(a["hit"] & rule.keep(x), F.array_append(F.when(full, none).otherwise(a["now"]), hit)).otherwise(F.when(full, none).otherwise(a["now"]))
+        return F.struct(end.alias("pos"), (~a["hit"]).alias("hit"), now.alias("now"), F.when(full, F.array_append(a["out"], a["now"])).otherwise(a["out"]).alias("out"))
 
-    found = F.aggregate(cut, start, step, lambda a: a["out"])
-    return F.when(rule.hint(text), found).otherwise(F.array().cast(SPAN))
+    found = F.aggregate(cut, start, step, lambda a: F.flatten(F.array_append(a["out"], a["now"])))
+    return F.when(rule.hint(text), found).otherwise(none)
 
 
 def tagged(found: dict[str, Column]) -> Column:
