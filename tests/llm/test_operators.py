@@ -229,6 +229,53 @@ def test_main_text(spark):
     assert got == {1: "Head & all One two three", 2: "Head & all One two three", 3: "", 4: "unique first text", 5: "unique second text"}
 
 
+def test_main_text_without_marks(spark):
+    """Runs that pages of a host share are cut, however the host is dealt; against all pairs of pages by brute force."""
+    rng = random.Random(6)
+    word = lambda: rng.choice(["a", "b", "c"]) + str(rng.randint(0, 400))
+    shared = [" ".join(word() for _ in range(rng.randint(9, 14))) for _ in range(6)]
+    made = []
+    for i in range(60):
+        own = [[word() for _ in range(rng.randint(1, 30))] for _ in range(4)]
+        body = [" ".join(own[0]), rng.choice(shared), " ".join(own[1]) + " " + rng.choice(shared) + " " + " ".join(own[2]), " ".join(own[3])]
+        made.append((i, f"http://h{i % 2}.example/{i}", body))
+    made += [(100 + i, u, b) for i, u, b in made[:9]]
+    run, want = html_main.MIN_RUN, {}
+    streams = {(u.split("/")[2], tuple(b)): " ".join(b).split() for _, u, b in made}
+    grams = {k: {tuple(w[j : j + run]) for j in range(len(w) - run + 1)} for k, w in streams.items()}
+    for i, u, body in made:
+        me = (u.split("/")[2], tuple(body))
+        others = set().union(*[g for k, g in grams.items() if k[0] == me[0] and k != me])
+        w = streams[me]
+        hit = [tuple(w[j : j + run]) in others for j in range(len(w))]
+        cover = [any(hit[max(0, j - run + 1) : j + 1]) for j in range(len(w))]
+        kept, at = [], 0
+        for b in body:
+            n = len(b.split())
+            inside = [any(hit[j] for j in range(max(at, x - run + 1), min(x, at + n - run) + 1)) for x in range(at, at + n)]
+            if not all(cover[at : at + n]):
+                kept += [x for x, c in zip(b.split(), inside) if not c]
+            at += n
+        want[i] = " ".join(kept)
+    rows = spark.createDataFrame([(i, u, "".join(f"<p>{x}</p>" for x in b), "x") for i, u, b in made], "page_id long, url string, html string, text string")
+    assert any(want[i] != " ".join(b) for i, _, b in made)
+    for chars in (html_main.SHARD_CHARS, 2_000):
+        assert {r.page_id: r.text for r in html_main.main_text(rows, shard_chars=chars).collect()} == want
+
+
+def test_main_text_edges(spark):
+    import time
+
+    assert html_main.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    pages = ["<article><p>one</p><svg/><iframe src='x'/><p>two</p></article>", "<article>a<br/>b < c<!-- x <p> --><i>d</i>e &lt;p&gt;</article>", '<article><a title="x > y">in</a> <b title=don\'t>out</b></article>', "", None, "<article></article>", "<nav>menu</nav>"]
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame([(i, None, h) for i, h in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert got == {0: "one two", 1: "a b < cde <p>", 2: "in out", 3: "", 4: "", 5: "", 6: ""}
+    began = time.time()
+    for odd in ('<a <a "' * 60_000, "<a x='" * 60_000, "<!" * 200_000, "<!--" * 100_000, "<div>" * 50_000 + "</p>" * 50_000 + "</i>" * 50_000, "<script>" * 50_000, "&" * 300_000, "< " * 200_000, "<p " + "= " * 200_000):
+        html_main.blocks(odd)
+    assert time.time() - began < 20
+
+
 def test_licences(docs, none, spark):
     rows = spark.createDataFrame([(1, "Some words here. Released under the MIT License. More."), (2, "nothing of the kind"), (3, None)], "doc_id long, text string")
     assert [(r.doc_id, r.license) for r in licenses.licences(rows).collect()] == [(1, "MIT")] and licenses.licences(none).count() == 0
