@@ -277,8 +277,37 @@ def test_main_text_edges(spark):
 
 
 def test_licences(docs, none, spark):
-    rows = spark.createDataFrame([(1, "Some words here. Released under the MIT License. More."), (2, "nothing of the kind"), (3, None)], "doc_id long, text string")
-    assert [(r.doc_id, r.license) for r in licenses.licences(rows).collect()] == [(1, "MIT")] and licenses.licences(none).count() == 0
+    mid = "a text where it is Released under the MIT License. as said and This project is licensed under the mit license, so"
+    rows = spark.createDataFrame([(1, "Some words here. Released under the MIT License. More."), (2, "nothing of the kind"), (3, None), (4, mid), (None, "All rights reserved")], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in licenses.licences(rows).collect()] == [(1, "MIT"), (4, "MIT"), (4, "MIT"), (None, "All-Rights-Reserved")] and licenses.licences(none).count() == 0
+
+
+def test_licence_texts_are_found_whole():
+    made = licenses.Templates(licenses.all_templates())
+    for name, texts in licenses.all_templates().items():
+        for t in texts:
+            for text in (t, "x y z " * 300 + t.upper() + " and so on " * 300):
+                found = made.places(text)
+                assert [(n, d) for n, d, _, _ in found] == [(name, 1.0)], (name, found)
+                words = licenses.WORD.findall(t)
+                assert licenses.WORD.findall(text[found[0][2] : found[0][3]].lower()) == [w.lower() for w in words]
+
+
+def test_licence_windows_by_brute_force():
+    from collections import Counter
+
+    rng = random.Random(11)
+    made = licenses.Templates({"L": ["a b c a b d e f a b c", "c d"], "M": ["e f a e f"]}, 0.7)
+    pair = lambda w: Counter(zip(w, w[1:]))
+    for _ in range(300):
+        words = [rng.choice("abcdefx") for _ in range(rng.randint(0, 30))]
+        for t, template in enumerate(("a b c a b d e f a b c", "c d", "e f a e f")):
+            want = pair(template.split())
+            best = max(((2 * (pair(words[i:j]) & want).total() / (j - i - 1 + want.total())) for i in range(len(words)) for j in range(i + 2, len(words) + 1)), default=0)
+            ids = [made.words.get(w, -1) for w in words]
+            hits = [(k, i) for k, (x, y) in enumerate(zip(ids, ids[1:])) for i in [int(licenses.np.searchsorted(made.codes, x << 32 | y))] if x >= 0 and y >= 0 and i < len(made.codes) and made.codes[i] == x << 32 | y and made.has[t, i]]
+            got = made.windows(t, licenses.np.array([k for k, _ in hits], int), licenses.np.array([i for _, i in hits], int)) if hits else []
+            assert (max((d for _, d, _, _ in got), default=0) == pytest.approx(best)) if best >= 0.7 else not got
 
 
 def test_nearest(spark):
