@@ -91,6 +91,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark item; those with null doc_id stay."""
-    held = materialise(overlaps(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text holds a benchmark item. Rows are told apart by a hash of doc_id and text, so that
+    rows that share a doc_id, or have none, are judged by their own text."""
+    free = "_" * (1 + max(map(len, docs.columns)))
+    row = F.xxhash64("doc_id", "text")
+    held = overlaps(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(free)).distinct()
+    return among(docs.withColumn(free, row), materialise(held, "contaminated"), free, "left_anti").select(*docs.columns)

@@ -112,21 +112,21 @@ class WordScores(dict):
         return at
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred and score; its own columns of those names are replaced."""
+def predict(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score under the given names; its own columns of those are replaced."""
     small_batches(docs.sparkSession)
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = [c for c in docs.columns if c not in names]
     at = own.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and CELLS
 
     def score(batches):
         model = shared.value
-        scores, names = WordScores(model), model["languages"]
+        scores, known = WordScores(model), model["languages"]
         for batch in batches:
             langs, shares = [], []
             for text in values(batch.column(at)):
                 words = text.lower().split() if text else []
-                total, n = np.zeros(len(names)), 0
+                total, n = np.zeros(len(known)), 0
                 for a in range(0, len(words), 20_000):
                     if scores.used > CACHE_ENTRIES - 20_000:
                         scores.clear()
@@ -135,20 +135,27 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                     rows = np.fromiter(map(scores.__getitem__, part), np.int64, len(part))
                     total += scores.rows[rows].sum(0, dtype=np.float64)
                     n += int(scores.words[rows].sum())
-                if not names or (n == 0 and not any(c.isalpha() for c in text or "")):
+                if not known or (n == 0 and not any(c.isalpha() for c in text or "")):
                     langs.append(UNKNOWN)
                     shares.append(0.0)
                     continue
                 z = total * (min(n, SATURATION) / max(n, 1))
                 z = np.exp(z - z.max())
                 best = int(z.argmax())
-                langs.append(names[best])
+                langs.append(known[best])
                 shares.append(float(z[best] / z.sum()))
             arrays = [batch.column(i) for i in range(len(own))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(shares, pa.float64())], [*own, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(shares, pa.float64())], [*own, *names])
 
     source = docs.select(*own)
-    return source.mapInArrow(freed(score), T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(freed(score), T.StructType([*source.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+
+
+def likely(docs: DataFrame, least: float) -> DataFrame:
+    """docs without those that have no letter, or no language of a score of `least` or more. Learned from its own lang."""
+    free = "_" * (1 + max(map(len, docs.columns)))
+    said = predict(docs, train(docs.select("doc_id", "text", "lang")), (free + "l", free + "s"))
+    return said.where((F.col(free + "l") != UNKNOWN) & (F.col(free + "s") >= least)).select(*docs.columns)
 
 
 def held_out() -> Column:
