@@ -52,7 +52,5 @@ def fuzzy_in(name: pd.Series, text: pd.Series) -> pd.Series:
 
 def register_functions(spark: SparkSession) -> None:
     """Makes the functions of this engine that are no built-ins usable in SQL."""
-    from clausewright.operators import segments
-
-    for name, f in (("nfkc", nfkc), ("seq_ratio", seq_ratio), ("fuzzy_in", fuzzy_in), ("clause_bounds", segments.clause_bounds), ("chunk_text", segments.chunk_text), ("segment_clauses", segments.segment_clauses)):
+    for name, f in (("nfkc", nfkc), ("seq_ratio", seq_ratio), ("fuzzy_in", fuzzy_in)):
         spark.udf.register(name, f)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausewright.functions import checks, fields, text, udf
-from clausewright.operators import classify, layout, ledger, retrieval, segments
+from clausewright.operators import classify, clauses, layout, ledger, retrieval
 from clausewright.plans.catalogue import NEAREST, WITH, nearest, query
 from clausewright.plans.review import MATCHED, TOKENS, docs, matched
 from clausewright.sources import files
@@ -93,27 +93,27 @@ def fn_date_ledger(spark, sf):
 @query("SELECT * FROM (VALUES (0, '甲方支付货款，共320,000元（含税）'), (1, '(USD) 5')) t(i, v)")
 def tx_normalize_clause(spark, sf):
     d = spark.createDataFrame(list(enumerate(["甲方 支付货款,共320,000元(含税)  ", "(USD) 5"])), "i int, t string")
-    return d.select("i", segments.normalised_clause(F.col("t")).alias("v"))
+    return d.select("i", clauses.normalised_clause(F.col("t")).alias("v"))
 
 
 @query("SELECT 0 AS i, '签订本合同。' || chr(10) || '甲方：张三' || chr(10) || '（一）甲' AS v")
 def tx_reflow(spark, sf):
-    return spark.createDataFrame([(0, "签订\n本合同。\n甲方：张三\n（一）甲")], "i int, t string").select("i", segments.reflow_text("t").alias("v"))
+    return spark.createDataFrame([(0, "签订\n本合同。\n甲方：张三\n（一）甲")], "i int, t string").select("i", clauses.reflow(F.col("t")).alias("v"))
 
 
 @query()
 def tx_clause_bounds(spark, sf):
-    return docs(spark, sf).select("doc_id", F.inline(segments.clause_bounds("text")))
+    return docs(spark, sf).select("doc_id", F.inline(clauses.bounds(F.col("text"))))
 
 
 @query()
 def tx_chunk(spark, sf):
-    return segments.chunk_rows(docs(spark, sf), "doc_id")
+    return clauses.chunk_rows(docs(spark, sf), "doc_id")
 
 
 @query()
 def tx_segment_clauses(spark, sf):
-    return docs(spark, sf).select("doc_id", F.inline(segments.segment_clauses("text")))
+    return docs(spark, sf).select("doc_id", F.inline(clauses.clauses(F.col("text"))))
 
 
 @query()

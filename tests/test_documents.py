@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from clausewright.functions import fields, udf
-from clausewright.operators import classify, retrieval, segments
+from clausewright.operators import classify, clauses, retrieval
 from clausewright.sources import files
 
 SALE = """智能产品销售合同
@@ -19,47 +19,65 @@ SALE = """智能产品销售合同
 向法院起诉。"""
 
 
-def test_clauses():
-    got = segments.clauses(SALE)
-    assert [c[1] for c in got] == ["合同基本信息", "合同标的", "付款条款", "争议解决"]
-    assert [c[3] for c in got] == ["other", "main", "payment", "dispute"]
-    assert [c[0] for c in got] == [1, 2, 3, 4]
-    formal = segments.clauses("第一条 标的\n一、甲\n二、乙\n第二条 保密\n保守秘密")
+def made(spark, f, *texts):
+    """The rows that f makes of each text, as tuples."""
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", f(F.col("t")).alias("v"))
+    return [[tuple(x) for x in r.v] if isinstance(r.v, list) and r.v and not isinstance(r.v[0], str) else r.v for r in d.orderBy("i").collect()]
+
+
+def test_clauses(spark):
+    sale, formal, none, short = made(spark, clauses.clauses, SALE, "第一条 标的\n一、甲\n二、乙\n第二条 保密\n保守秘密", None, "abc")
+    assert [c[1] for c in sale] == ["合同基本信息", "合同标的", "付款条款", "争议解决"]
+    assert [c[3] for c in sale] == ["other", "main", "payment", "dispute"]
+    assert [c[0] for c in sale] == [1, 2, 3, 4] and sale[2][2] == "乙方在 3 日内支付 40%"
     assert [c[1] for c in formal] == ["标的", "保密"]
-    assert segments.clauses(None) == [] and segments.clauses("abc")[0][1] == "全文"
+    assert none == [] and short == [(1, "全文", "abc", "other")]
+    (many,) = made(spark, clauses.clauses, "\n".join(f"{i}、甲{i}" for i in range(1, 300)))
+    assert len(many) == 200 and many[-1][:2] == (200, "甲200")
 
 
-def test_bounds():
-    assert [m for _, _, m in segments.bounds("第一条 甲\n2. b\n三、丙\n（四）丁\n保密\n")] == ["第一条", "2", "三", "四", "保密"]
+def test_bounds(spark):
+    text = "前言\n第一条 甲\n2. b\n三、丙\n（四）丁\n保密\n"
+    (got, none) = made(spark, clauses.bounds, text, None)
+    assert [m for _, _, m in got] == ["第一条", "2", "三", "四", "保密"] and all(text[a:b] == m for a, b, m in got) and none == []
 
 
-def test_chunks():
-    assert segments.chunks(None) == [] and segments.chunks("") == []
+def test_chunks(spark):
     long = "一句话。" * 600
-    got = segments.chunks(long)
-    assert all(len(t) <= 800 + 50 + 2 for _, t, _ in got) and [i for i, *_ in got] == list(range(len(got)))
-    marked = segments.chunks("第一条 甲\n" + "x" * 900 + "\n第二条 乙\n短")
-    assert marked[0][2] == "第一条"
+    none, empty, got, marked, short, paras = made(spark, clauses.chunks, None, "", long, "第一条 甲\n" + "x" * 900 + "\n第二条 乙\n短", "短文一段也有十个字以上", "第一段文字有十个字以上\n \n第二段文字有十个字以上")
+    assert none == [] and empty == []
+    assert all(len(t) <= 800 + 50 + 2 for _, t, _ in got) and [i for i, *_ in got] == list(range(len(got))) and got[0][1].endswith("。")
+    assert marked[0][2] == "第一条" and short == [(0, "短文一段也有十个字以上", None)] and paras[0][1] == "第一段文字有十个字以上"
 
 
-def test_hard_split_covers():
+def test_windows_cover(spark):
     t = "".join(f"{i}." for i in range(2000))
-    parts = segments.hard_split(t, 100, 10)
-    assert all(len(p) <= 100 for p in parts) and parts[-1].endswith(t[-5:])
+    (cut,) = made(spark, lambda c: clauses.windows(c, 100, 10), t)
+    assert all(len(p) <= 100 and p.endswith(".") for p in cut) and cut[-1].endswith(t[-5:])
     at = 0
-    for p in parts:
+    for p in cut:
         assert (k := t.find(p, max(0, at - 20))) <= at
         at = k + len(p)
     assert at == len(t)
 
 
+def test_tails(spark):
+    rows = {"短": "短", "甲" * 60: "甲" * 50, "甲" * 90 + "。" + "乙" * 8: "乙" * 8, "甲" * 90 + "。" + "乙" * 3: "甲" * 46 + "。乙乙乙"}
+    assert made(spark, lambda c: clauses.tail(c, 50), *rows) == list(rows.values())
+
+
+def test_reflow(spark):
+    rows = {"签订\n本合同。\n甲方：张三\n续\n（一）甲\n乙": "签订本合同。\n甲方：张三\n续\n（一）甲乙", "a\n\nb": "a\n\nb", "甲\r\n乙": "甲乙", "": ""}
+    assert made(spark, clauses.reflow, *rows) == list(rows.values())
+
+
 def test_named_in():
     assert udf.named_in("深圳创新电子有限公", "甲方：\n深圳创新电子有限公司") and not udf.named_in("某某集团", "深圳") and not udf.named_in(None, None)
 
 
 def test_empty_texts(spark):
     d = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
-    assert segments.chunk_rows(d, "doc_id").count() == 0
+    assert clauses.chunk_rows(d, "doc_id").count() == 0
     row = d.select(*[f(F.col("text")).alias(n) for n, f in fields.FILLERS.items()]).collect()
     assert all(v is None for r in row for v in r)
     c = d.selectExpr("doc_id", "text", "null AS title", "cast(null as string) AS model", "cast(null as string) AS arb_type", "cast(null as double) AS arb_conf", "cast(null as string) AS preset")
