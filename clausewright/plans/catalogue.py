@@ -255,18 +255,6 @@ def cl_rule_pick(spark, sf):
     return x.select("doc_id", F.when(F.col("top") == 0, "other").otherwise(F.col("kind")).alias("kind"), conf.alias("conf"))
 
 
-@query("SELECT i, CAST(yuan AS DOUBLE) AS yuan FROM (VALUES (0, 1280000.0), (1, 500500.0), (2, 120000000.0), (3, 100.23), (4, 123456.0), (5, NULL)) t(i, yuan)")
-def fn_cn_amount(spark, sf):
-    rows = ["人民币壹佰贰拾捌万元整", "伍拾万零伍佰元", "壹亿贰仟万元整", "壹佰元贰角叁分", "壹拾贰万叁仟肆佰伍拾陆元整", "500,000 元"]
-    return spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", money.cn_amount(F.col("t")).alias("yuan"))
-
-
-@query("SELECT i, CAST(d AS DATE) AS d FROM (VALUES (0, '2026-08-01'), (1, '2026-08-01'), (2, '2026-08-01'), (3, '2026-08-01'), (4, '2026-12-31'), (5, NULL), (6, NULL)) t(i, d)")
-def fn_date_norm(spark, sf):
-    rows = ["签订日期：2026-08-01", "2026/8/1 签订", "2026 年 8 月 1 日", "二〇二六年八月一日", "二零二六年十二月三十一日", "2026-13-40 签订", ""]
-    return spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", money.date_norm(F.col("t")).alias("d"))
-
-
 NEAREST = """p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM p)"""
 

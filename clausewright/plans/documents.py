@@ -32,41 +32,6 @@ def records(spark, changes):
     return spark.createDataFrame([(i, SAMPLE, *[{**RECORD, **c}.get(n) for n in NAMES]) for i, c in enumerate(changes)], DDL)
 
 
-def filling(name: str, value: str):
-    """Registers the query that finds one field in the sample, which has none filled in."""
-
-    def run(spark, sf):
-        return records(spark, [dict.fromkeys(NAMES)]).select("i", fields.filled(F.col("text"), name).alias("v"))
-
-    run.__name__ = f"ex_fill_{name}"
-    query(f"SELECT 0 AS i, {value} AS v")(run)
-
-
-for _n in NAMES:
-    _v = "万元" if _n == "amount_uppercase" else RECORD.get(_n)  # the first run of numerals is in "5 万元"
-    filling(_n, "CAST(NULL AS VARCHAR)" if _v is None else f"CAST({_v} AS DOUBLE)" if _n == "amount" else f"'{_v}'")
-
-
-@query("SELECT 0 AS i, 'CG-20260801-0001' AS contract_code, 'Z' AS partner_a, 'YY 信息技术有限公司' AS partner_b, 7.0::DOUBLE AS amount")
-def ex_fill(spark, sf):
-    r = records(spark, [{**dict.fromkeys(NAMES), "partner_a": "Z", "partner_b": " ", "amount": 7.0}])
-    return r.select("i", *[fields.filled(F.col("text"), n).alias(n) for n in ("contract_code", "partner_a", "partner_b", "amount")])
-
-
-@query("""SELECT * FROM (VALUES (0, '', '', ''), (1, 'amount_cross;evidence:amount', '', ''), (2, 'evidence:sign_date', '', ''), (3, 'evidence:partner_b', '', ''), (4, 'amount;amount_cross;evidence:amount', '', ''),
-(5, 'amount;amount_cross;evidence:amount', '', ''), (6, 'date:sign_date;evidence:sign_date', '', ''), (7, 'date:sign_date;evidence:sign_date', '', ''), (8, 'date:sign_date;evidence:sign_date', '', ''), (9, 'enum', '', ''),
-(10, '', 'contract_code', ''), (11, 'evidence:effective_date', '', 'sign_after_effective')) t(i, errors, fatal, warnings)""")
-def dq_validate(spark, sf):
-    r = records(spark, CHANGES).withColumn("e", fields.evidence(F.col("text"))).withColumn("r", fields.report(F.col("e"), F.lit(False)))
-    return r.select("i", *[F.array_join(f"r.{c}", ";").alias(c) for c in ("errors", "fatal", "warnings")])
-
-
-@query("SELECT * FROM (VALUES (0, true, true), (3, true, false)) t(i, amount, partner_b)")
-def ev_fields(spark, sf):
-    e = records(spark, CHANGES).withColumn("e", fields.evidence(F.col("text"))).where("i IN (0, 3)")
-    return e.select("i", F.expr("e['amount']").alias("amount"), F.expr("e['partner_b']").alias("partner_b"))
-
-
 @query("SELECT * FROM (VALUES (0, true), (1, true), (2, false)) t(i, found)")
 def ev_fuzzy(spark, sf):
     d = spark.createDataFrame([(0, "YY 信息技术有限公"), (1, "ＸＸ科技有限公司"), (2, "某某集团")], "i int, name string")
@@ -78,44 +43,6 @@ def tk_first_match(spark, sf):
     return docs(spark, sf).select("doc_id", fields.one_of(F.col("text"), [("AKIA", "key"), ("[0-9]{4}-[0-9]{2}-[0-9]{2}", "dated")]).alias("v"))
 
 
-@query("SELECT * FROM (VALUES (0, '2026-08-01'), (1, '2026-08-01'), (2, '2026-08-01'), (3, NULL)) t(i, v)")
-def fn_date_eval(spark, sf):
-    d = spark.createDataFrame(list(enumerate(["2026/8/1", "20260801", "26-08-01", "soon"])), "i int, t string")
-    return d.select("i", fields.date_eval(F.col("t")).cast("string").alias("v"))
-
-
-@query("SELECT * FROM (VALUES (0, '2026-08-01'), (1, '2026-08-01'), (2, NULL), (3, NULL)) t(i, v)")
-def fn_date_ledger(spark, sf):
-    d = spark.createDataFrame(list(enumerate(["2026年08月01日", "2026/08/01", "2026-8-1", "2026-13-01"])), "i int, t string")
-    return d.select("i", fields.date_ledger(F.col("t")).cast("string").alias("v"))
-
-
-@query("SELECT * FROM (VALUES (0, '甲方支付货款，共320,000元（含税）'), (1, '(USD) 5')) t(i, v)")
-def tx_normalize_clause(spark, sf):
-    d = spark.createDataFrame(list(enumerate(["甲方 支付货款,共320,000元(含税)  ", "(USD) 5"])), "i int, t string")
-    return d.select("i", clauses.normalised_clause(F.col("t")).alias("v"))
-
-
-@query("SELECT 0 AS i, '签订本合同。' || chr(10) || '甲方：张三' || chr(10) || '（一）甲' AS v")
-def tx_reflow(spark, sf):
-    return spark.createDataFrame([(0, "签订\n本合同。\n甲方：张三\n（一）甲")], "i int, t string").select("i", clauses.reflow(F.col("t")).alias("v"))
-
-
-@query()
-def tx_clause_bounds(spark, sf):
-    return docs(spark, sf).select("doc_id", F.inline(clauses.bounds(F.col("text"))))
-
-
-@query()
-def tx_chunk(spark, sf):
-    return clauses.chunk_rows(docs(spark, sf), "doc_id")
-
-
-@query()
-def tx_segment_clauses(spark, sf):
-    return docs(spark, sf).select("doc_id", F.inline(clauses.clauses(F.col("text"))))
-
-
 @query()
 def tx_norm_text(spark, sf):
     return docs(spark, sf).select("doc_id", udf.nfkc("text").alias("norm"))
@@ -156,13 +83,6 @@ def prj_type_map(spark, sf):
     return contracts(spark, sf).select("id", labels[F.col("type")].alias("label"))
 
 
-@query("SELECT * FROM (VALUES (0, 'arbitration'), (1, 'litigation'), (2, 'negotiation'), (3, 'negotiation')) t(i, v)")
-def prj_dispute_map(spark, sf):
-    d = spark.createDataFrame(list(enumerate(["提交仲裁委员会仲裁", "向法院起诉", "协商解决", "无"])), "i int, t string")
-    found = fields.one_of(F.col("t"), [("仲裁", "arbitration"), ("法院|诉讼|起诉", "litigation"), ("协商|调解", "negotiation")])
-    return d.select("i", F.coalesce(found, F.lit("negotiation")).alias("v"))
-
-
 @query(f"{WITH} SELECT id, date_signed AS sign_date, date_end AS expire_date FROM contracts")
 def prj_field_alias(spark, sf):
     return contracts(spark, sf).select("id", "date_signed", "date_end").withColumnsRenamed({"date_signed": "sign_date", "date_end": "expire_date"})
@@ -282,13 +202,6 @@ def ps_generate_ai(spark, sf):
     return ledger.named_payments(contracts(spark, sf), [tuple(None if x == "NULL" else x for x in n) for n in SAID])
 
 
-@query("SELECT * FROM (VALUES (0, 1.0::DOUBLE, false), (1, 0.9::DOUBLE, true)) t(i, total, warn)")
-def dq_pct_total(spark, sf):
-    d = spark.createDataFrame([(0, "支付30%预付款；验收后支付60%；余款10%"), (1, "支付30%预付款；验收后支付60%")], "i int, t string")
-    total = F.round(F.aggregate(checks.payment_nodes(F.col("t")), F.lit(0.0), lambda a, x: a + F.coalesce(x["ratio"], F.lit(0.0))), 4)
-    return d.select("i", total.alias("total"), (F.abs(total - 1) > 0.02).alias("warn"))
-
-
 @query(f"{MATCHED}, a AS (SELECT type, avg(CAST(amount_ok AS INT)) AS x, avg(CAST(date_ok AS INT)) AS y FROM m GROUP BY type) SELECT type, round((x - y) * 100, 2) AS delta, CASE WHEN (x - y) * 100 >= 5 THEN 'better' WHEN x >= y THEN 'even' ELSE 'worse' END AS verdict FROM a")
 def evl_delta(spark, sf):
     a = matched(spark, sf).groupBy("type").agg(F.avg(F.col("amount_ok").cast("int")).alias("x"), F.avg(F.col("date_ok").cast("int")).alias("y"))
@@ -323,21 +236,6 @@ def ag_rag_metrics(spark, sf):
     return evl_ctx_recall(spark, sf).groupBy("conv_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("recall"))
 
 
-@query("SELECT * FROM (VALUES (0, true), (1, true), (2, true), (3, false)) t(i, ok)")
-def evl_fuzzy(spark, sf):
-    d = spark.createDataFrame([(0, "A b", "ab"), (1, "abc", "xabcx"), (2, "30% then 60%", "30 / 60"), (3, "a", "b")], "i int, x string, y string")
-    return d.select("i", fields.fuzzy_match(F.col("x"), F.col("y")).alias("ok"))
-
-
-KINDS = [("采购合同", "", None, "采购合同"), ("", "甲方向乙方支付货款。乙方向甲方交付设备。", None, "采购合同"), ("", "出租方与承租方约定租金与押金。", None, "租赁合同"), ("销售合同", "甲方（供方）：某公司", '{"type": "销售合同", "confidence": 0.92}', "销售合同"), ("", "", None, "其他"), ("", "销售", '{"type": "租赁合同", "confidence": 0.9}', "租赁合同")]
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {k[3]!r})' for i, k in enumerate(KINDS))}) t(doc_id, type)")
-def cl_run(spark, sf):
-    d = spark.createDataFrame([(i, a, b, c, None, None, None) for i, (a, b, c, _) in enumerate(KINDS)], "doc_id int, title string, text string, model string, arb_type string, arb_conf double, preset string")
-    return classify.classify(d).select("doc_id", "type")
-
-
 @query("SELECT * FROM (VALUES (0, 'missing:code', NULL), (1, 'enum:kind', 2.0::DOUBLE), (2, '', 3.0::DOUBLE), (3, 'type:amount', NULL)) t(i, errors, amount)")
 def fn_schema_validate(spark, sf):
     schema, values, required = files.field_schema({"fields": {"code": {"type": "string|null", "required": True}, "amount": {"type": "number"}, "kind": {"values": "kinds.values"}}, "kinds": {"values": ["a", "b"]}})

@@ -201,36 +201,6 @@ def given(spark, rows, f):
     return spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", f(F.col("t")).alias("v"))
 
 
-@query("SELECT i, v FROM (VALUES (0, 15), (1, 2026), (2, 30), (3, NULL)) t(i, v)")
-def fn_cn_int(spark, sf):
-    return given(spark, ["十五", "二〇二六", "三十", "x"], checks.cn_int)
-
-
-@query("SELECT i, v FROM (VALUES (0, 30), (1, 5), (2, NULL)) t(i, v)")
-def fn_cn_ratio(spark, sf):
-    return given(spark, ["合同生效后支付百分之三十预付款", "百分之五", "无"], checks.cn_ratio)
-
-
-@query("SELECT i, v FROM (VALUES (0, 10), (1, 60), (2, 0), (3, 15)) t(i, v)")
-def fn_time_offset(spark, sf):
-    return given(spark, ["验收合格后10个工作日内", "2个月后支付", "签订后支付", "另行商定"], checks.time_offset)
-
-
-@query("SELECT i, v FROM (VALUES (0, 'USD'), (1, 'EUR'), (2, 'HKD'), (3, 'CNY'), (4, 'CNY'), (5, NULL)) t(i, v)")
-def fn_currency_guess(spark, sf):
-    return given(spark, ["5万美元", "欧元", "港币100元", "人民币", "美元折合人民币", "面议"], fields.currency_of)
-
-
-@query("SELECT i, CAST(v AS DOUBLE) AS v FROM (VALUES (0, 50000.0), (1, 500000.0), (2, 0.0)) t(i, v)")
-def fn_amount_loose(spark, sf):
-    return given(spark, ["5 万元", "￥500,000", "面议"], money.amount_loose)
-
-
-@query("""SELECT i, v FROM (VALUES (0, '{"a": 1}'), (1, '{"a": 2}'), (2, '{"a": 3}'), (3, NULL)) t(i, v)""")
-def fn_json_tolerant(spark, sf):
-    return given(spark, ['```json\n{"a": 1}\n```', '{"a": 2}', 'so: {"a": 3} .', "none"], checks.json_part)
-
-
 @query("""SELECT i, kind, CAST(conf AS DOUBLE) AS conf, method, review FROM (VALUES (0, 'a', 0.6, 'rule_fallback', false), (1, 'a', 0.97, 'llm', false), (2, 'a', 0.6325, 'ensemble', false), (3, 'b', 0.51, 'conflict', true), (4, 'b', 0.8, 'llm', false)) t(i, kind, conf, method, review)""")
 def cl_fuse(spark, sf):
     rows = [(0, "a", 0.6, "b", 0.3, True), (1, "a", 0.6, "a", 0.92, False), (2, "a", 0.6, "a", 0.45, False), (3, "a", 0.5, "b", 0.6, False), (4, "a", 0.9, "b", 0.8, False)]
@@ -287,20 +257,6 @@ def evl_compare(spark, sf):
     return matched(spark, sf).groupBy("type").agg(*[F.round(F.avg(F.col(f"{c}_ok").cast("int")), 4).alias(f"{c}_accuracy") for c in ("amount", "date")])
 
 
-@query("""SELECT i, label, ratio, amount, days FROM (VALUES (0, 'prepayment', 0.3::DOUBLE, 174000.0::DOUBLE, NULL), (0, 'on_completion', 0.6, 348000.0, 10), (0, 'final', 0.1, 58000.0, 30), (1, 'prepayment', 0.3, NULL, NULL), (2, 'prepayment', NULL, 50000.0, NULL)) t(i, label, ratio, amount, days)""")
-def ps_parse(spark, sf):
-    rows = ["支付30%预付款174000元；验收合格后10个工作日内支付60%即348000元；剩余10%即58000元作为质保金，30日内付清", "合同生效后支付百分之三十预付款", "签订后支付 5 万元预付款", "本合同无付款安排", None]
-    d = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
-    return d.select("i", F.inline(checks.payment_nodes(F.col("t"))))
-
-
-@query("SELECT i, n, CAST(amount AS DOUBLE) AS amount FROM (VALUES (0, 4, 135000.0), (1, 12, 3000.0), (2, 1, 120000.0)) t(i, n, amount)")
-def ps_rent(spark, sf):
-    rows = ["月租金45000元，年租金540000元，按季度支付", "月租金3000元，按月支付", "年租金 120,000 元", "无"]
-    d = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", checks.rent_parts(F.col("t")).alias("r"))
-    return d.where("r IS NOT NULL").select("i", "r.n", "r.amount")
-
-
 @query(f"{WITH} SELECT id, action, next FROM contracts JOIN (VALUES {', '.join(map(str, MOVES))}) m(state, action, next) USING (state)")
 def sm_contract(spark, sf):
     moves = spark.createDataFrame(MOVES, "state string, action string, next string")  # seven rows

@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from clausewright.plans import documents, review  # noqa: F401
+from clausewright.plans import documents, endpoints, review, texts  # noqa: F401
 from clausewright.plans.catalogue import FLAGSHIP, ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
