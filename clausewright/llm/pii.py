@@ -101,18 +101,20 @@ def revealing(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT
     if held.isEmpty():
         return empty
     # of equal texts one row is read; rows are told apart by a hash, so that nothing else is shuffled
-    keyed = docs.withColumn("h", F.xxhash64(plain(F.col("text")))).select("text", one_row("doc_id", "h").alias("row"))
+    keyed = lambda df: df.withColumn("h", F.xxhash64(plain(F.col("text")))).select("text", one_row("doc_id", "h").alias("row"))
     least = found.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("r"), F.count("*").alias("k"))
-    least = least.select("h", "k", one_row("r.doc_id", "h").alias("row"))
-    holders = materialise(least.join(held.select("h").distinct(), "h", "left_semi").select("row"), "holders")
-    words = materialise(text_terms(among(keyed, holders, "row")).distinct(), "words")
+    least = least.select("h", "k", "r.doc_id", one_row("r.doc_id", "h").alias("row"))
+    holders = materialise(least.join(held.select("h").distinct(), "h", "left_semi").select("doc_id", "row"), "holders")
+    # by doc_id first, so that other texts needn't be hashed
+    near = among(docs.where("doc_id IS NOT NULL"), holders.select("doc_id").distinct(), "doc_id").unionByName(docs.where("doc_id IS NULL"))
+    words = materialise(text_terms(among(keyed(near), holders.select("row"), "row")).distinct(), "words")
     both = held.join(words, "h")
     pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= support)
     pairs = materialise(pairs, "pairs")
     wanted = materialise(pairs.select("term").distinct(), "terms")
     copies = least.where("k > 1").select("h", F.col("row").alias("first"))
     copies = materialise(found.select("h", one_row("doc_id", "h").alias("row")).join(copies, "h").where("row <> first").select("row").distinct(), "copies")
-    counted = among(text_terms(among(keyed, copies, "row", "left_anti")), wanted, "term")
+    counted = among(text_terms(among(keyed(docs), copies, "row", "left_anti")), wanted, "term")
     if not found.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         counted = counted.distinct()  # rows that repeat doc_id and text
     counted = counted.groupBy("term").agg(F.count("*").alias("n_t"))
