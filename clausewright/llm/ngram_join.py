@@ -271,8 +271,8 @@ def classes(docs: DataFrame, words: int, threshold: float, trees: int, depth: in
     sets = materialise(shingle_table(rows, words).dropDuplicates(["key"]), "sets")
     while True:
         found = verified(reps, links.where(F.col("depth") >= depth).select("a", "b"), sets, depth, trees, deepest, threshold)
-        seen = {r.pos: r.n for r in found.select(F.posexplode("steps")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
-        shorter = depth_wanted([seen.get(i, 0) for i in range(STEPS)], depth, threshold, trees, recall)
+        seen = found.agg(*[F.coalesce(F.sum(F.col("steps")[i]), F.lit(0)) for i in range(STEPS)]).first()  # one row
+        shorter = depth_wanted(list(seen), depth, threshold, trees, recall)
         if shorter == depth:
             break
         depth = shorter
