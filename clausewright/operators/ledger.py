@@ -48,6 +48,52 @@ def export_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc_nulls_first("date_signed"), "code")
 
 
+# The headings of the exported sheet, each with the column that it shows.
+SHEET = {
+    "合同编号": "code",
+    "合同名称": "name",
+    "类型": "type_label",
+    "状态": "state_label",
+    "甲方": "partner_a_name",
+    "乙方": "partner_b_name",
+    "签订日期": "date_signed",
+    "生效日期": "date_start",
+    "到期日期": "date_end",
+    "合同金额": "amount",
+    "币种": "currency",
+    "计划总额": "planned_total",
+    "已完成": "paid_total",
+    "剩余": "remaining_total",
+    "付款计划数": "plan_count",
+    "逾期数": "overdue_count",
+    "AI 来源": "is_ai",
+}
+#: Columns of the sheet that hold a number, which is 0 where there is none.
+NUMBERS = ("amount", "planned_total", "paid_total", "remaining_total", "plan_count", "overdue_count")
+
+
+def sheet(df: DataFrame) -> DataFrame:
+    """The list sheet, in export_order(): a code that is missing is /, other texts empty, numbers 0; yes or no for is_ai.
+
+    A column that df lacks is one without values."""
+
+    def cell(c: str) -> Column:
+        v = F.col(c) if c in df.columns else F.lit(None)
+        if c == "is_ai":
+            return F.when(v.cast("boolean"), "是").otherwise("否")
+        if c in NUMBERS:
+            return F.coalesce(v, F.lit(0))
+        return F.coalesce(v.cast("string"), F.lit("/" if c == "code" else ""))
+
+    return export_order(df).select(*[cell(c).alias(heading) for heading, c in SHEET.items()])
+
+
+def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
+    """Each sheet as CSV with its headings, in a folder of its name, replaced if there."""
+    for name, df in sheets.items():
+        df.write.mode("overwrite").csv(f"{path}/{name}", header=True)
+
+
 def type_summary(summary: DataFrame) -> DataFrame:
     """Count, amount, paid and paid share by type, with a total row."""
     t = summary.rollup("type").agg(F.count("*").alias("n"), F.sum("amount").cast(MONEY).alias("amount"), F.sum("paid_total").cast(MONEY).alias("paid"), F.grouping("type").alias("g"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from clausewright.operators import clauses, elements
-from clausewright.plans.catalogue import NEAREST, WITH, nearest, query
+from clausewright.operators import clauses, elements, ledger
+from clausewright.plans.catalogue import NEAREST, SUMMARY, WITH, nearest, query, summary
+from clausewright.plans.documents import LABELS
 from clausewright.plans.review import MATCHED, docs, matched
 from clausewright.plans.texts import texts
 from clausewright.sources.tables import contracts, plans, table
@@ -14,6 +15,8 @@ from clausewright.sources.tables import contracts, plans, table
 CHARS = "length(regexp_replace(html, '<[^>]*>', '', 'g'))"
 IMAGES = "(length(html) - length(replace(html, '<img', ''))) // 4"
 HOST = "regexp_extract(url, '^https?://([^/]+)', 1)"
+# How a contract's states are shown.
+STATE_LABELS = {"draft": "草拟", "approval": "审批中", "seal": "已用印", "archived": "已归档", "void": "已作废"}
 PREFIXES = {"sale": "XS", "purchase": "CG"}
 DROPPED = 35
 
@@ -27,6 +30,35 @@ def jn_partner(spark, sf):
     return c.join(names, "partner_a", "left").join(others, "partner_b", "left").select("id", "partner_a_name", "partner_b_name")
 
 
+def cases(column: str, labels: dict[str, str]) -> str:
+    return f"coalesce(CASE {column} {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in labels.items())} ELSE {column} END, '')"
+
+
+def labelled(column: str, labels: dict[str, str]):
+    """The label of a coded value, or the value itself where it has none."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[F.col(column)], F.col(column))
+
+
+def listed(spark, sf):
+    """What the list sheet shows of each contract; even ids have no start, ids that 5 divides no currency."""
+    s = summary(spark, sf).join(jn_partner(spark, sf), "id")
+    return s.select(
+        "*", F.concat_ws(" ", "type", "code").alias("name"), labelled("type", LABELS).alias("type_label"), labelled("state", STATE_LABELS).alias("state_label"),
+        F.when(F.col("id") % 2 == 1, F.date_add("date_signed", 1)).alias("date_start"), F.when(F.col("id") % 5 != 0, "CNY").alias("currency"), (F.col("id") % 4 != 0).alias("is_ai"),
+    )
+
+
+@query(f"""{WITH}, {SUMMARY}, b AS (SELECT contract_id, min(partner_b) AS partner_b FROM plans GROUP BY 1)
+SELECT coalesce(code, '/') AS "合同编号", concat_ws(' ', type, code) AS "合同名称", {cases('type', LABELS)} AS "类型", {cases('state', STATE_LABELS)} AS "状态",
+  coalesce(c_name, '') AS "甲方", coalesce(s_name, '') AS "乙方", coalesce(CAST(date_signed AS VARCHAR), '') AS "签订日期", CASE WHEN id % 2 = 1 THEN coalesce(CAST(date_signed + 1 AS VARCHAR), '') ELSE '' END AS "生效日期",
+  coalesce(CAST(date_end AS VARCHAR), '') AS "到期日期", coalesce(amount, 0) AS "合同金额", CASE WHEN id % 5 <> 0 THEN 'CNY' ELSE '' END AS "币种", planned_total AS "计划总额", paid_total AS "已完成", remaining_total AS "剩余",
+  plan_count AS "付款计划数", overdue_count AS "逾期数", CASE WHEN id % 4 <> 0 THEN '是' ELSE '否' END AS "AI 来源"
+FROM summary LEFT JOIN b ON contract_id = id LEFT JOIN customer ON c_custkey = partner_a LEFT JOIN supplier ON s_suppkey = b.partner_b""")
+def snk_excel(spark, sf):
+    """The list sheet of the exported workbook; ag_type_summary is its second, ledger.write_sheets() writes both."""
+    return ledger.sheet(listed(spark, sf))
+
+
 @query("SELECT doc_id, lang, length(text) AS chars FROM documents WHERE lang = 'de'")
 def vx_lookup(spark, sf):
     return docs(spark, sf).where("lang = 'de'").select("doc_id", "lang", F.length("text").cast("long").alias("chars"))
