@@ -217,7 +217,7 @@ class Words(dict):
                 self.fresh[word] = array("I", found.ids).tobytes()
 
     def encode_run(self, words: list[str]) -> None:
-        """Encodes words of letters as one text and cuts its ids behind each id that ends a word.
+        """Encodes words of Latin 1 letters as one text and cuts its ids behind each id that ends a word.
 
         A word has one such id at least. If there are more than words, some word has several: then each by itself."""
         (found,) = self.coder.encode_batch_fast([" ".join(words)], add_special_tokens=False)
@@ -238,22 +238,29 @@ class Words(dict):
             size = ENTRY_BYTES + len(word) + len(ids)
             self.held += size
             self.waiting -= size
-        unseen = new.difference(again)
-        # ASCII letters and the marks that follow them are tokenized apart: their ids can be put together. Other
-        # letters can turn into letters and marks when lower-cased, which would join the marks behind them.
-        stems = {w: w.rstrip(MARKS) for w in unseen}
-        apart = lambda s: s.isascii() and s.isalpha()
-        wanted = {s if apart(s) else w for w, s in stems.items()} | {w[len(s) :] for w, s in stems.items() if len(s) < len(w) and apart(s)}
-        wanted = [w for w in wanted if w not in self and w not in self.fresh]
-        letters = [w for w in wanted if apart(w)]
-        for k in range(0, len(letters), RUN):
-            self.encode_run(letters[k : k + RUN])
-        self.encode_each([w for w in wanted if not apart(w)])
-        for w, s in stems.items():
-            if w not in self.fresh:
-                self.fresh[w] = self[s] + self[w[len(s) :]]
-        for w in unseen.union(wanted):
-            self.waiting += ENTRY_BYTES + len(w) + len(self[w])
+        # Letters of Latin 1 and the marks that follow them are tokenized apart: their ids can be put together. Other
+        # letters can turn into letters and marks when lower-cased, or join with them, which would join the marks behind.
+        stems, ends, whole, made = set(), set(), [], []
+        for w in new.difference(again):
+            s = w.rstrip(MARKS)
+            if not (s.isalpha() and (s.isascii() or max(s) <= "\xff")):
+                whole.append(w)
+                continue
+            stems.add(s)
+            if len(s) < len(w):
+                end = w[len(s) :]
+                ends.add(end)
+                made.append((w, s, end))
+        stems = list(stems.difference(self).difference(self.fresh))
+        whole += ends.difference(self, self.fresh, whole)
+        for k in range(0, len(stems), RUN):
+            self.encode_run(stems[k : k + RUN])
+        self.encode_each(whole)
+        for w, s, end in made:
+            self.fresh[w] = ids = self[s] + self[end]
+            self.waiting += ENTRY_BYTES + len(w) + len(ids)
+        for w in chain(stems, whole):
+            self.waiting += ENTRY_BYTES + len(w) + len(self.fresh[w])
 
     def joined(self, texts):
         """The ids of each text and the closing 0."""
