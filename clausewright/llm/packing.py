@@ -36,6 +36,8 @@ END = b"\0\0\0\0"
 #: How the tokenizer's vocabulary marks the last piece of a word, and how many unseen words are encoded at once.
 WORD_END = "</w>"
 RUN = 2_000
+#: How special tokens begin.
+SPECIAL = "<|"
 #: Marks that may follow the letters of a word.
 MARKS = ".,;:!?%&$#*)"
 
@@ -168,12 +170,14 @@ def placements(made: Made) -> list[tuple[int, int, int, int, int, int]]:
 
 
 def lowered(text: str) -> str:
-    """The text in lower case, as the tokenizer has it, where its letters are all of Latin 1; else as it is."""
+    """The text in lower case, as the tokenizer has it, where its letters are all of Latin 1; else as it is.
+
+    What might become a special token by it stays too: the tokenizer looks for those in the text as it came."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return text
-    return text.lower()
+    return text if SPECIAL in text else text.lower()
 
 
 class Words(dict):

@@ -161,8 +161,8 @@ def test_packing_keeps_token_ids():
 
     coder = Tokenizer.from_file(packing.tokenizer_path())
     rng = random.Random(4)
-    parts = list("abcé İıß.,;:!?'\"%&$#*)(—А\n\n\t  ЖщÅÉΣς0123 中語̇́ĳﬁ½²Ω  Ǆẞ") + ["don't", "'s ", " the ", "token", "<|endoftext|>", "it's,"]
-    texts = ["Don't, STOP!! İstanbul ΣΑΣ naïve… x<|endoftext|>y\tz w\n\n étude 3.14,5 $$$ a... b;)", "А\nİ,", "İ. é"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    parts = list("abcé İıß.,;:!?'\"%&$#*)(—А\n\n\t  ЖщÅÉΣς0123 中語̇́ĳﬁ½²Ω  Ǆẞ") + ["don't", "'s ", " the ", "token", "<|endoftext|>", "<|ENDOFTEXT|>", "it's,"]
+    texts = ["<|ENDOFTEXT|> a", "É<|EndOfText|>b", "Don't, STOP!! İstanbul ΣΑΣ naïve… x<|endoftext|>y\tz w\n\n étude 3.14,5 $$$ a... b;)", "А\nİ,", "İ. é"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
     want = [x.ids + [0] for x in coder.encode_batch(texts, add_special_tokens=False)]
     words = packing.Words(packing.tokenizer_path())
     for _ in range(2):
