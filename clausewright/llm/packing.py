@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +25,13 @@ from clausewright.llm.common import freed, materialise, values
 SIZE = 2048
 #: Buckets that a length's pieces are ranked in: so many at least, and one for every BUCKET_PIECES pieces.
 BUCKETS, BUCKET_PIECES = 256, 100_000
-#: Bytes of words and ids that a Python worker remembers, about, and as many of words that it has met once; a full
-#: cache is emptied, which changes speed only. Words of over LONG_WORD characters aren't remembered.
-CACHE_BYTES = 40_000_000
+#: Bytes of words and ids that a Python worker remembers between blocks of texts, about; changes speed only.
+CACHE_BYTES = 80_000_000
 #: What an entry takes besides its characters and ids.
 ENTRY_BYTES = 200
-#: Texts whose words are looked up together, and their characters at most, unless one text has more.
-BLOCK_TEXTS, BLOCK_CHARS = 256, 2_000_000
+#: Texts whose words are looked up together, and their characters at most, unless one text has more; words whose ids
+#: are put together at once.
+BLOCK_TEXTS, BLOCK_CHARS, PORTION = 1_000, 4_000_000, 200_000
 END = b"\0\0\0\0"
 #: How the tokenizer's vocabulary marks the last piece of a word, and how many unseen words are encoded at once.
 WORD_END = "</w>"
@@ -180,107 +180,158 @@ def lowered(text: str) -> str:
     return text if SPECIAL in text else text.lower()
 
 
-class Words(dict):
-    """Ids of what stands between spaces and line feeds, as bytes: the tokenizer never joins across those.
+def grown(a: np.ndarray, need: int) -> np.ndarray:
+    """a, or a copy of twice its size or more if it has fewer than `need` places."""
+    if need <= len(a):
+        return a
+    out = np.empty(max(need, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
 
-    A word is kept here from its second block on; until then it waits in `fresh`, so that the many words that come
-    once don't push out the others."""
+class Words:
+    """Ids of what stands between spaces and line feeds: the tokenizer never joins across those.
+
+    Word n of `place` has ids[begin[n] : begin[n] + size[n]]; hits[n] counts the blocks that it came in."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__({"": b""})
         self.coder = Tokenizer.from_file(tokenizer)
         vocabulary = self.coder.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.fresh: dict[str, bytes] = {}
-        self.held = self.waiting = 0  # bytes, about
-
-    def __missing__(self, word: str) -> bytes:
-        return self.fresh[word]
+        if not self.ends.any():
+            raise ValueError(f"{tokenizer} does not mark the ends of words, at which texts are cut here")
+        # The same model without the steps that leave lower-case letters of Latin 1 as they are.
+        self.plain = Tokenizer(self.coder.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.empty()
 
     def empty(self) -> None:
-        self.clear()
-        self[""] = b""
-        self.held = 0
+        self.place = {"": 0}
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.begin, self.size, self.hits = (np.zeros(1 << 14, np.int32) for _ in range(3))
+        self.used = self.chars = 0
+
+    @property
+    def held(self) -> int:
+        """Bytes of the words and their ids, about."""
+        return ENTRY_BYTES * len(self.place) + self.chars + 4 * self.used
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, end = len(self.place), len(self.place) + len(words)
+        self.begin, self.size, self.hits = (grown(a, end) for a in (self.begin, self.size, self.hits))
+        self.ids = grown(self.ids, self.used + len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[n:end] = self.used + np.cumsum(sizes) - sizes
+        self.size[n:end] = sizes
+        self.hits[n:end] = 0
+        self.used += len(ids)
+        self.chars += sum(map(len, words))
+        self.place.update(zip(words, range(n, end)))
+
+    def gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these numbers, one behind the other, and how many each has."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        for a in range(0, len(at), PORTION):
+            n, e = sizes[a : a + PORTION], ends[a : a + PORTION]
+            first, last = int(e[0] - n[0]), int(e[-1])
+            out[first:last] = self.ids[np.repeat(self.begin[at[a : a + PORTION]] - (e - n - first), n) + np.arange(last - first)]
+        return out, sizes
 
     def forget(self) -> None:
-        """Empties what is over its bound; called between blocks, whose words are all kept until then."""
-        if self.held > CACHE_BYTES:
+        """Over the bound, keeps what came in several blocks since the last time, or nothing if that is over half of it.
+
+        Called between blocks, whose words are all kept until then."""
+        if self.held <= CACHE_BYTES:
+            return
+        again = self.hits[: len(self.place)] > 1
+        again[0] = False  # the empty word, which empty() places
+        kept = np.flatnonzero(again)
+        words = [w for w, k in zip(self.place, again.tolist()) if k]
+        ids, sizes = self.gathered(kept)
+        self.empty()
+        self.add(words, ids, sizes)
+        if self.held > CACHE_BYTES / 2:
             self.empty()
-        if self.waiting > CACHE_BYTES:
-            self.fresh.clear()
-            self.waiting = 0
 
     def encode_each(self, words: list[str]) -> None:
         for k in range(0, len(words), 10_000):
             part = words[k : k + 10_000]
-            for word, found in zip(part, self.coder.encode_batch_fast(part, add_special_tokens=False)):
-                self.fresh[word] = array("I", found.ids).tobytes()
+            found = [x.ids for x in self.coder.encode_batch_fast(part, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(part))
+            self.add(part, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
 
     def encode_run(self, words: list[str]) -> None:
         """Encodes words of Latin 1 letters as one text and cuts its ids behind each id that ends a word.
 
         A word has one such id at least. If there are more than words, some word has several: then each by itself."""
-        (found,) = self.coder.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        (found,) = self.plain.encode_batch_fast([" ".join(words).lower()], add_special_tokens=False)
         ids = np.array(found.ids, np.uint32)
-        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             return self.encode_each(words)
-        raw, a = ids.tobytes(), 0
-        for word, b in zip(words, cuts.tolist()):
-            self.fresh[word] = raw[a:b]
-            a = b
-
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self)
-        again = new.intersection(self.fresh)
-        for word in again:
-            self[word] = ids = self.fresh.pop(word)
-            size = ENTRY_BYTES + len(word) + len(ids)
-            self.held += size
-            self.waiting -= size
+        self.add(words, ids, np.diff(cuts, prepend=0))
+
+    def learn(self, words: list[str]) -> None:
+        """Places words, each once and none of them placed yet."""
         # Letters of Latin 1 and the marks that follow them are tokenized apart: their ids can be put together. Other
         # letters can turn into letters and marks when lower-cased, or join with them, which would join the marks behind.
-        stems, ends, whole, made = set(), set(), [], []
-        for w in new.difference(again):
+        stems, whole, made, first, ends = set(), set(), [], [], []
+        for w in words:
             s = w.rstrip(MARKS)
             if not (s.isalpha() and (s.isascii() or max(s) <= "\xff")):
-                whole.append(w)
+                whole.add(w)
                 continue
             stems.add(s)
             if len(s) < len(w):
-                end = w[len(s) :]
-                ends.add(end)
-                made.append((w, s, end))
-        stems = list(stems.difference(self).difference(self.fresh))
-        whole += ends.difference(self, self.fresh, whole)
+                made.append(w)
+                first.append(s)
+                ends.append(w[len(s) :])
+        stems = [s for s in stems if s not in self.place]
         for k in range(0, len(stems), RUN):
             self.encode_run(stems[k : k + RUN])
-        self.encode_each(whole)
-        for w, s, end in made:
-            self.fresh[w] = ids = self[s] + self[end]
-            self.waiting += ENTRY_BYTES + len(w) + len(ids)
-        for w in chain(stems, whole):
-            self.waiting += ENTRY_BYTES + len(w) + len(self.fresh[w])
+        self.encode_each([w for w in whole.union(ends) if w not in self.place])
+        if made:
+            both = self.numbers(chain.from_iterable(zip(first, ends)), 2 * len(made))
+            ids, sizes = self.gathered(both)
+            self.add(made, ids, sizes[::2] + sizes[1::2])
+
+    def numbers(self, words, n: int) -> np.ndarray:
+        """The numbers of n words, -1 for those not placed."""
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, n)
 
     def joined(self, texts):
         """The ids of each text and the closing 0."""
         block, chars = [], 0
         for text in texts:
-            block.append(lowered(text or "").replace("\n", " ").split(" "))
-            chars += len(text or "")
+            block.append(lowered(text or "").replace("\n", " "))
+            chars += len(block[-1])
             if len(block) == BLOCK_TEXTS or chars > BLOCK_CHARS:
                 yield from self.ids_of(block)
                 block, chars = [], 0
-        yield from self.ids_of(block)
-
-    def ids_of(self, block: list[list[str]]):
-        self.learn(set(chain.from_iterable(block)))
-        for words in block:
-            yield b"".join(map(self.__getitem__, words)) + END
+        if block:
+            yield from self.ids_of(block)
+
+    def ids_of(self, block: list[str]):
+        lists = pc.split_pattern(pa.array(block, pa.large_string()), " ")
+        words = lists.flatten().dictionary_encode()
+        each = words.dictionary.to_pylist()
+        at = self.numbers(each, len(each))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unknown = [each[k] for k in new.tolist()]
+            self.learn(unknown)
+            at[new] = self.numbers(unknown, len(unknown))
+        self.hits[at] += 1
+        ids, sizes = self.gathered(at[words.indices.to_numpy()])
+        cuts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[lists.offsets.to_numpy()].tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield ids[a:b].tobytes() + END
         self.forget()
 
 

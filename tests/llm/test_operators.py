@@ -196,7 +196,7 @@ def test_worker_caches_are_bounded(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_BYTES", 100_000)
     words = packing.Words(packing.tokenizer_path())
     list(words.joined(f"{i}a {'b' * (i % 300)}{i}" for i in range(5_000)))
-    assert words.held <= 300_000 and len(words) + len(words.fresh) < 2_500
+    assert words.held <= 300_000 and len(words.place) < 2_500
     scores = lang_id.WordScores({"languages": ["a", "b"], "words": {}, "ngrams": {"x": (1.0, -1.0)}})
     assert [scores[str(i)] for i in range(1000)] == [0] * 1000 and scores["x" * 100] == 1 and not len(scores)
 
