@@ -1,11 +1,14 @@
 import json
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from clausewright.functions import fields, udf
 from clausewright.operators import classify, clauses, retrieval
+from clausewright.plans.catalogue import NEAREST
 from clausewright.sources import files
 
 SALE = """智能产品销售合同
@@ -92,6 +95,55 @@ def test_blocks_of_queries(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.nearest(e, q, 3).collect())) == few and len(few) == 180
 
 
+def test_nearest_of_odd_vectors(spark, monkeypatch):
+    """Ties, halves of a step, repeated ids and vectors without a similarity, against the SQL of tk_vector."""
+    monkeypatch.setattr(retrieval, "BROADCAST_PARTS", 40)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 5)
+    monkeypatch.setattr(retrieval, "FIRST_ROWS", 4)
+    made = [(i, [float(i % 7), float(i % 3) - 1, 1.0]) for i in range(90)]
+    odd = [(20, None), (100, [0.0, 0.0, 0.0]), (101, [float("nan"), 1.0, 0.0]), (102, [float("inf"), 1.0, 0.0]), (103, None), (None, [1.0, 1.0, 1.0]), (105, [1e-200, 0.0, 1e-200]), (106, [1e200, 0.0, 1e200])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", made + odd)
+    e = spark.createDataFrame(made + odd, "vec_id long, embedding array<double>")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    for k in (1, 5, 95, 300):
+        got = retrieval.nearest(e, q, k)
+        want = con.sql(f"WITH {NEAREST} SELECT query_id, vec_id, sim, r FROM n WHERE r <= {k}").fetchall()
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_nearest_of_other_lengths(spark):
+    e = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0]), (2, [1.0, None]), (3, []), (4, [0.6, 0.8])], "vec_id long, embedding array<double>")
+    got = retrieval.nearest(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).where("query_id IN (0, 3)"), 3)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, None, 2), (0, 2, None, 3), (0, 4, 0.6, 1), (3, 0, None, 1), (3, 1, None, 2), (3, 2, None, 3)]
+    assert retrieval.nearest(e, e.limit(0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 3).count() == 0
+
+
+def test_nearest_makes_no_pairs(spark):
+    plan = retrieval.nearest(*vectors(spark, 300), 2)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
+
+
+def test_nearest_against_all_pairs(spark):
+    e, q = vectors(spark, 4_000)
+    got = {}
+    for r in retrieval.nearest(e, q, 7).collect():
+        got.setdefault(r.query_id, {})[r.r] = (r.vec_id, r.sim)
+    x = np.array([r.embedding for r in e.orderBy("vec_id").collect()])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 4_000, 20):
+        sim = np.round(x @ x[i], 4)
+        best = [j for j in np.lexsort((np.arange(4_000), -sim)) if j != i][:7]
+        assert got[i] == {n: (j, sim[j]) for n, j in enumerate(best, 1)}
+
+
+def vectors(spark, n):
+    rows = np.random.default_rng(5).normal(size=(n, 6)).tolist()
+    e = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    return e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
 def test_uploads(spark, tmp_path):
     for name, size in (("a.pdf", 0), ("b.pdf", 5), ("c.txt", 5)):
         (tmp_path / name).write_bytes(b"x" * size)
