@@ -263,6 +263,23 @@ def test_main_text_without_marks(spark):
         assert {r.page_id: r.text for r in html_main.main_text(rows, shard_chars=chars).collect()} == want
 
 
+def test_main_text_with_some_marks(spark):
+    """The array reads marked pages too: what stands outside two articles is boilerplate, what a page marks as its article isn't."""
+    foot, lead = "these words stand below every page of the whole host", "this lead of an article is told again on another page"
+    pages = [f"<article><p>{lead}</p><p>more</p></article><p>{foot}</p>", f"<p>{lead}</p><p>own words</p><p>{foot}</p>", f"<article>{foot}</article>", f"<article>{foot}</article><p>alone</p>"]
+    made = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)] + [(9, "http://other/", pages[1])], "page_id long, url string, html string")
+    for chars in (html_main.SHARD_CHARS, 60):
+        got = {r.page_id: r.text for r in html_main.main_text(made, shard_chars=chars).collect()}
+        assert got == {0: f"{lead} more", 1: f"{lead} own words", 2: foot, 3: foot, 9: f"{lead} own words {foot}"}
+
+
+def test_main_text_of_many_equal_pages(spark):
+    made = spark.range(0, 3_000, 1, 3).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "concat('<p>the same words on every page of this host</p>', if(id % 1000 = 7, '<p>x</p>', '')) AS html")
+    for chars in (html_main.SHARD_CHARS, 20_000):
+        got = html_main.main_text(made, shard_chars=chars).groupBy("text").count().collect()
+        assert {r.text: r["count"] for r in got} == {"": 2_997, "x": 3}
+
+
 def test_main_text_edges(spark):
     import time
 
